@@ -172,37 +172,48 @@ def _spans_of(partial: DataFrame, documents: DataFrame, key: str, text: str, spa
 
 
 class SharedSpans:
-    """The shared passages of a table of texts; the parts common to its queries."""
+    """The shared passages of a table of texts; the parts common to its queries.
+
+    The windows of all texts are worked out twice, once to find the anchors of more than one record and
+    once to keep the windows of those, as that is cheaper than to store or sort all of them."""
 
     def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM):
         self.documents, self.key, self.text, self.span = documents, key, text, span
-        self.windows = cut(windows_of(documents, key, text, span, gram))
-        # Texts of one interval, as the smallest and largest record that holds it: summed before the shuffle.
+        every = windows_of(documents, key, text, span, gram)
+        # The smallest and largest record tell whether there are two; they are summed before the shuffle.
+        anchors = every.groupBy("ancre").agg(F.min("doc").alias("_b"), F.max("doc").alias("_h")).filter("_b <> _h").select("ancre")
+        self.windows = cut(every.join(anchors, "ancre"))
         self.groups = cut(
             self.windows.groupBy("ancre", "empreinte").agg(F.min("doc").alias("bas"), F.max("doc").alias("haut"), F.min(F.struct("doc", "de", "a")).alias("ici"))
         )
 
     def whole(self) -> DataFrame:
-        """Intervals that stand as a whole in two records or more."""
-        return self.groups.filter("bas <> haut").select("ancre", "empreinte")
-
-    def spans(self) -> DataFrame:
-        """Single shared spans of intervals that share their anchor, not their text, with another record."""
-        shared = self.groups.groupBy("ancre").agg(F.min("bas").alias("_b"), F.max("haut").alias("_h"), F.count("*").alias("_n")).filter("_b <> _h and _n > 1").select("ancre")
-        partial = self.groups.join(shared, "ancre").select("ancre", "empreinte", "bas", "haut", "ici.doc", "ici.de", "ici.a")
-        single = _spans_of(partial, self.documents, self.key, self.text, self.span)
+        """Windows that stand as a whole in two records or more."""
+        return self.windows.join(self.groups.filter("bas <> haut").select("ancre", "empreinte"), ["ancre", "empreinte"], "left_semi")
+
+    def spans(self, known: DataFrame | None = None) -> DataFrame:
+        """Single shared spans of windows that share their anchor, not their text, with another record.
+
+        ``known`` has records (``doc``) whose own spans aren't asked for."""
+        groups = self.groups
+        if known is not None:
+            open_ = groups.filter("bas = haut").join(known.withColumnRenamed("doc", "bas"), "bas", "left_anti").select("ancre").distinct()
+            groups = groups.join(open_, "ancre")
+        several = groups.groupBy("ancre").agg(F.count("*").alias("_n")).filter("_n > 1").select("ancre")
+        partial = groups.join(several, "ancre").select("ancre", "empreinte", "bas", "haut", "ici.doc", "ici.de", "ici.a")
+        single = cut(_spans_of(partial, self.documents, self.key, self.text, self.span))
         both = single.groupBy("ancre", "passage").agg(F.min("bas").alias("_b"), F.max("haut").alias("_h"))
-        # A span is needed only where its own interval isn't shared as a whole.
-        return single.filter("bas = haut").join(both.filter("_b <> _h").select("ancre", "passage"), ["ancre", "passage"])
+        # A span is needed only where its own window isn't shared as a whole.
+        return single.filter("bas = haut").join(both.filter("_b <> _h").select("ancre", "passage"), ["ancre", "passage"], "left_semi")
 
     def found(self) -> DataFrame:
         """Each record that holds a shared passage."""
-        whole = self.windows.join(self.whole(), ["ancre", "empreinte"], "left_semi").select("doc")
-        return whole.union(self.spans().select(F.col("bas").alias("doc"))).distinct().select(F.col("doc").alias(self.key))
+        whole = cut(self.whole().select("doc").distinct())
+        return whole.union(self.spans(whole).select(F.col("bas").alias("doc"))).distinct().select(F.col("doc").alias(self.key))
 
     def passages(self) -> DataFrame:
         """The maximal shared passages of each record: ``debut`` and ``fin`` (exclusive) in code points."""
-        whole = self.windows.join(self.whole(), ["ancre", "empreinte"], "left_semi").select("doc", "de", (F.col("a") + self.span).alias("fin"))
+        whole = self.whole().select("doc", "de", (F.col("a") + self.span).alias("fin"))
         steps = Window.partitionBy("ancre", "empreinte").orderBy("ecart")  # at most a span's spans
         runs = (
             self.spans()
