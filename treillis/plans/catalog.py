@@ -5,9 +5,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from treillis.plans import nested
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**nested.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
