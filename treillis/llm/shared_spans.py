@@ -141,36 +141,49 @@ def windows_of(documents: DataFrame, key: str = "doc_id", text: str = "text", sp
     return long.mapInArrow(run, f"doc {kind}, ancre bigint, empreinte bigint, de int, a int")
 
 
-def _spans_of(partial: DataFrame, documents: DataFrame, key: str, text: str, span: int) -> DataFrame:
-    """Every single span of the given intervals: ``ancre``, ``empreinte``, ``ecart`` (from the interval's first) and its hash."""
-    wanted = partial.groupBy("doc").agg(F.collect_list(F.struct("ancre", "empreinte", "de", "a", "bas", "haut")).alias("_w"))  # bounded by one text
+def _hashes_of(partial: DataFrame, documents: DataFrame, key: str, text: str, span: int, gram: int) -> DataFrame:
+    """For each given window (ancre, empreinte, bas, haut, ouvert, doc, de, a) the hashes of all its spans, and coarse ones.
+
+    ``fins`` has the hash of each span, from the window's first. ``gros`` has hashes of every STEP-th shorter
+    span, counted from the anchor: a shared span holds one that both records hash alike."""
+    wanted = partial.groupBy("doc").agg(F.collect_list(F.struct("ancre", "empreinte", "de", "a", "bas", "haut", "ouvert")).alias("_w"))  # bounded by one text
     kind = documents.schema[key].dataType.simpleString()
+    step = max(1, (span - gram) // 8)
+    short = span - step + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text_, want in zip(batch.column(0), batch.column(1)):
                 flat = want.values
-                de, a = (flat.field(c).to_numpy() for c in ("de", "a"))
                 body = text_.as_py()
-                hashes = []
-                for x, y in zip(de.tolist(), a.tolist()):
-                    hashes.append(_mix(_Roll(_codes(body[x : y + span]), _BASE_2).every(span)))
-                sizes = a - de + 1
-                row = pa.array(np.repeat(np.arange(len(de)), sizes))
-                ecart = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                fine, coarse, places = [], [], []
+                for x, y in zip(flat.field("de").to_pylist(), flat.field("a").to_pylist()):
+                    values = _codes(body[x : y + span])
+                    fine.append(_mix(_Roll(values, _BASE_2).every(span)))
+                    roll = _Roll(values, _BASE_1)
+                    anchor = int((_mix(roll.every(gram)) >> np.uint64(SLAB_BITS + 1)).argmin())
+                    at = np.arange(anchor % step, len(values) - short + 1, step)
+                    places.append(at)
+                    coarse.append(_mix(roll.slices(at, at + short)))
+                lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate(parts), kind))
                 yield pa.RecordBatch.from_arrays(
-                    [*(flat.field(c).take(row) for c in ("ancre", "empreinte", "bas", "haut")), pa.array(ecart.astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64))],
-                    names=["ancre", "empreinte", "bas", "haut", "ecart", "passage"],
+                    [*(flat.field(c) for c in ("ancre", "empreinte", "bas", "haut", "ouvert")), lists([f.view(np.int64) for f in fine], pa.int64()), lists([c.view(np.int64) for c in coarse], pa.int64()), lists([p.astype(np.int32) for p in places], pa.int32())],
+                    names=["ancre", "empreinte", "bas", "haut", "ouvert", "fins", "gros", "places"],
                 )
 
     return (
         documents.select(F.col(key).alias("doc"), F.col(text).alias("_t"))
         .join(wanted, "doc")
         .select("_t", "_w")
-        .mapInArrow(run, f"ancre bigint, empreinte bigint, bas {kind}, haut {kind}, ecart int, passage bigint")
+        .mapInArrow(run, f"ancre bigint, empreinte bigint, bas {kind}, haut {kind}, ouvert boolean, fins array<bigint>, gros array<bigint>, places array<int>")
     )
 
 
+def _of_two(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that two records or more have, at least one of them in an open window."""
+    return rows.groupBy(*keys).agg(F.min("bas").alias("_b"), F.max("haut").alias("_h"), F.max("ouvert").alias("_o")).filter("_b <> _h and _o").select(*keys)
+
+
 class SharedSpans:
     """The shared passages of a table of texts; the parts common to its queries.
 
@@ -178,7 +191,7 @@ class SharedSpans:
     once to keep the windows of those, as that is cheaper than to store or sort all of them."""
 
     def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM):
-        self.documents, self.key, self.text, self.span = documents, key, text, span
+        self.documents, self.key, self.text, self.span, self.gram = documents, key, text, span, gram
         every = windows_of(documents, key, text, span, gram)
         # The smallest and largest record tell whether there are two; they are summed before the shuffle.
         anchors = every.groupBy("ancre").agg(F.min("doc").alias("_b"), F.max("doc").alias("_h")).filter("_b <> _h").select("ancre")
@@ -194,17 +207,24 @@ class SharedSpans:
     def spans(self, known: DataFrame | None = None) -> DataFrame:
         """Single shared spans of windows that share their anchor, not their text, with another record.
 
-        ``known`` has records (``doc``) whose own spans aren't asked for."""
-        groups = self.groups
+        ``known`` has records (``doc``) whose own spans aren't asked for. Coarse hashes, of which there are few,
+        tell which spans are worth comparing."""
+        groups, own = self.groups.withColumn("ouvert", F.col("bas") == F.col("haut")), ["ancre", "empreinte"]
         if known is not None:
-            open_ = groups.filter("bas = haut").join(known.withColumnRenamed("doc", "bas"), "bas", "left_anti").select("ancre").distinct()
-            groups = groups.join(open_, "ancre")
-        several = groups.groupBy("ancre").agg(F.count("*").alias("_n")).filter("_n > 1").select("ancre")
-        partial = groups.join(several, "ancre").select("ancre", "empreinte", "bas", "haut", "ici.doc", "ici.de", "ici.a")
-        single = cut(_spans_of(partial, self.documents, self.key, self.text, self.span))
-        both = single.groupBy("ancre", "passage").agg(F.min("bas").alias("_b"), F.max("haut").alias("_h"))
+            told = known.select(F.col("doc").alias("bas"), F.lit(True).alias("_k"))
+            groups = groups.join(told, "bas", "left").withColumn("ouvert", F.col("ouvert") & F.col("_k").isNull())
+        several = groups.groupBy("ancre").agg(F.count("*").alias("_n"), F.max("ouvert").alias("_o")).filter("_n > 1 and _o").select("ancre")
+        partial = groups.join(several, "ancre").select(*own, "bas", "haut", "ouvert", "ici.doc", "ici.de", "ici.a")
+        hashed = cut(_hashes_of(partial, self.documents, self.key, self.text, self.span, self.gram))
+        coarse = hashed.select(*own, "bas", "haut", "ouvert", F.explode(F.arrays_zip("gros", "places")).alias("x")).select(*own, "bas", "haut", "ouvert", "x.gros", "x.places")
+        alike = coarse.join(_of_two(coarse, ["ancre", "gros"]), ["ancre", "gros"], "left_semi").groupBy(*own).agg(F.collect_set("places").alias("grille"))  # a few of one window
+        step = max(1, (self.span - self.gram) // 8)
+        starts = F.array_distinct(F.flatten(F.transform("grille", lambda g: F.sequence(F.greatest(g - (step - 1), F.lit(0)), F.least(g, F.size("fins") - 1)))))
+        within = F.transform("grille", lambda g: F.when(g - (step - 1) < F.size("fins"), g))
+        near = hashed.drop("gros", "places").join(alike, own).withColumn("grille", F.array_compact(within)).filter(F.size("grille") > 0)
+        single = near.select(*own, "bas", "haut", "ouvert", "fins", F.explode(starts).alias("ecart")).select(*own, "bas", "haut", "ouvert", "ecart", F.get("fins", F.col("ecart")).alias("passage"))
         # A span is needed only where its own window isn't shared as a whole.
-        return single.filter("bas = haut").join(both.filter("_b <> _h").select("ancre", "passage"), ["ancre", "passage"], "left_semi")
+        return single.filter("ouvert").join(_of_two(single, ["ancre", "passage"]), ["ancre", "passage"], "left_semi")
 
     def found(self) -> DataFrame:
         """Each record that holds a shared passage."""
