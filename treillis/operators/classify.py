@@ -21,14 +21,16 @@ def leaf_products(queries: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def node_scores(queries: DataFrame, leaves: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The score of every node of the lot's trees for every query: the mean of the cosines of both sides."""
+    """The score of every node of the lot's trees for every query: the mean of the cosines of both sides.
+
+    Scores have nine decimals, so that equal ones stay equal in whatever order their parts were summed."""
     members = nodes.select("lot", "rt", "noeud", F.explode("feuilles").alias("feuille"))
     rolled = leaf_products(queries, leaves).join(members, ["lot", "rt", "feuille"]).groupBy("lot", "ex", "rt", "noeud", "cote").agg(F.sum("produit").alias("produit"))
     norms = nodes.select("lot", "rt", "noeud", F.explode(F.create_map(F.lit("L"), "norme_l", F.lit("R"), "norme_r")).alias("cote", "nn"))
     sims = rolled.join(norms, ["lot", "rt", "noeud", "cote"]).join(side_norms(queries), ["lot", "ex", "cote"])
     summed = sims.groupBy("lot", "ex", "rt", "noeud").agg((0.5 * F.sum(cosine(F.col("produit"), F.col("nn"), F.col("norme")))).alias("score"))
     asked = queries.select("lot", "ex").distinct().join(nodes.select("lot", "rt", "noeud"), "lot")
-    return asked.join(summed, ["lot", "ex", "rt", "noeud"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return asked.join(summed, ["lot", "ex", "rt", "noeud"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
 
 
 def descend(scores: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -166,8 +166,8 @@ def wilcoxon(diffs: DataFrame, d: str = "d", *by: str) -> DataFrame:
     ranked_ = average_ranks(diffs.filter(F.abs(d) > 1e-9).withColumn("_a", F.round(F.abs(d), 9)), "_a", *by)
     groups = ranked_.groupBy(*by).agg(F.collect_list("rang_moyen").alias("_r"), F.coalesce(F.sum(F.when(F.col(d) > 0, F.col("rang_moyen"))), F.lit(0.0)).alias("w_plus"), F.count("*").alias("n"))
     groups = groups.withColumn("_half", F.aggregate("_r", F.lit(0.0), lambda x, y: x + y) / 2)
-    each = groups.withColumn("_m", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.col("n").cast("int")) - 1)))
-    signed = F.aggregate(F.transform("_r", lambda r, i: F.when(F.shiftright(F.col("_m"), i).bitwiseAND(F.lit(1)) == 1, r).otherwise(0.0)), F.lit(0.0), lambda x, y: x + y)
+    each = groups.withColumn("_m", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2.0), F.col("n")).cast("int") - 1)))
+    signed = F.aggregate(F.transform("_r", lambda r, i: F.when(F.getbit(F.col("_m"), i) == 1, r).otherwise(0.0)), F.lit(0.0), lambda x, y: x + y)
     extreme = F.abs(signed - F.col("_half")) >= F.abs(F.col("w_plus") - F.col("_half")) - 1e-9
     return each.groupBy(*by, "n", "w_plus").agg(F.avg(extreme.cast("int")).alias("p"))
 

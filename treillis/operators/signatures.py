@@ -37,7 +37,7 @@ def relation_counts(records: DataFrame) -> DataFrame:
 def tags(records: DataFrame) -> DataFrame:
     """Tags of SST with positive weight: the greatest weight and the last ``morpho`` of each."""
     each = records.select("terme", F.posexplode("SST").alias("pos", "e")).filter("e.poids > 0 and e.tag is not null")
-    return each.groupBy("terme", F.col("e.tag").alias("tag")).agg(F.max("e.poids").alias("poids"), F.coalesce(F.max_by("e.morpho", "pos"), F.lit(False)).alias("morpho"))
+    return each.groupBy("terme", F.col("e.tag").alias("tag")).agg(F.max("e.poids").alias("poids"), F.max_by(F.coalesce("e.morpho", F.lit(False)), "pos").alias("morpho"))
 
 
 def type_thresholds(counts: DataFrame, n_terms: int, share: float = PERCENTILE) -> DataFrame:
@@ -74,7 +74,8 @@ def _over_most(value: Column) -> Column:
 def collected_symbols(records: DataFrame, config: Config, training: DataFrame | None = None) -> DataFrame:
     """Symbols of the terms with their collection weights, the term's own symbol last.
 
-    Of a symbol the own term and an entry of H share, the own term's weight 1 holds."""
+    Of a symbol the own term and an entry of H share, the own term's weight 1 holds; of a symbol two entries give, the
+    lesser weight."""
     h = hypernyms(records)
     if config.h is not None:
         h = h.filter(F.col("rang_h") <= config.h)
@@ -92,7 +93,7 @@ def collected_symbols(records: DataFrame, config: Config, training: DataFrame |
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    return rows.groupBy("terme", "symbole").agg(F.max_by(F.struct("trait", "poids"), "_p").alias("x")).select("terme", "x.trait", "symbole", "x.poids")
+    return rows.groupBy("terme", "symbole").agg(F.max_by(F.struct("trait", "poids"), F.struct(F.col("_p"), -F.col("poids"))).alias("x")).select("terme", "x.trait", "symbole", "x.poids")
 
 
 def signatures(records: DataFrame, config: Config, training: DataFrame | None = None) -> DataFrame:

@@ -102,7 +102,8 @@ def centroids(side_rows: DataFrame) -> DataFrame:
 def centroid_scores(rows: DataFrame, signatures: DataFrame, centers: DataFrame) -> DataFrame:
     """(ex, rt, score) against every relation: half the sum of the cosines of both sides.
 
-    Dot products are worked out for distinct terms, so that a term held by many rows costs once."""
+    Dot products are worked out for distinct terms, so that a term held by many rows costs once. Scores have nine
+    decimals, so that equal ones stay equal in whatever order their parts were summed."""
     terms = terms_of(rows)
     vectors = terms.join(signatures.select("terme", "symbole", "poids"), "terme", "left").select("terme", F.coalesce("symbole", "terme").alias("symbole"), F.coalesce("poids", F.lit(1.0)).alias("poids"))
     norm = squared(["terme"], vectors).select("terme", F.sqrt("carre").alias("nt"))
@@ -112,4 +113,4 @@ def centroid_scores(rows: DataFrame, signatures: DataFrame, centers: DataFrame)
     types = centers.select("rt").distinct()
     left, right = (sims.filter(F.col("cote") == c).select(F.col("terme").alias(t), "rt", F.col("sim").alias(f"s{c}")) for c, t in (("L", "A"), ("R", "B")))
     every = rows.select("ex", "A", "B").crossJoin(types)  # a row a relation, of which there are few
-    return every.join(left, ["A", "rt"], "left").join(right, ["B", "rt"], "left").select("ex", "rt", (0.5 * (F.coalesce("sL", F.lit(0.0)) + F.coalesce("sR", F.lit(0.0)))).alias("score"))
+    return every.join(left, ["A", "rt"], "left").join(right, ["B", "rt"], "left").select("ex", "rt", F.round(0.5 * (F.coalesce("sL", F.lit(0.0)) + F.coalesce("sR", F.lit(0.0))), 9).alias("score"))

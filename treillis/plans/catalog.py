@@ -5,12 +5,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treillis.plans import nested
+from treillis.plans import nested, oracle, reference
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**nested.queries()}
+    return {**reference.queries(), **nested.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
