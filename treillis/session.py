@@ -1,7 +1,9 @@
 """Session settings, table access and lineage cuts shared by every operator."""
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +19,31 @@ def bound_arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application, so that they need no installation."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    here = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(here):  # the package itself was imported from an archive
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="treillis-"), "treillis.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(here):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(here)))
+    context.addPyFile(archive)
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """A table of the data directory (one parquet file or folder per table)."""
+    ship_package(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
