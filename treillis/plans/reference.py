@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from treillis.functions import text
 from treillis.model import REFERENCE, RETAINED, Config
 from treillis.operators import classify, clustering, crossval, evaluate, quality, signatures, similarity
-from treillis.session import table
+from treillis.session import cut, table
 from treillis.sources import collection, corpus as corpus_files, store
 
 TABLES = {"corpus": "corpus_r_processus_instr_1", "termes": "termes_jdm", "aretes": "aretes", "noeuds": "noeuds", "types": "jdm_relations_types", "refs": "signatures_ref"}
@@ -20,10 +20,18 @@ def r6(c: Column | str) -> Column:
 
 
 class Frames:
-    """The inputs and intermediate relations that queries share; all lazy."""
+    """The inputs and intermediate relations that queries share.
+
+    What a query reads more than once (signatures, sides, scores, trees, predictions) is written once to the
+    checkpoint folder, so that no shuffle is repeated; the rest is lazy."""
 
     def __init__(self, spark: SparkSession, d: str):
-        self.spark, self.d = spark, d
+        self.spark, self.d, self.kept = spark, d, {}
+
+    def once(self, name: str, make) -> DataFrame:
+        if name not in self.kept:
+            self.kept[name] = cut(make())
+        return self.kept[name]
 
     def t(self, name: str) -> DataFrame:
         return table(self.spark, self.d, TABLES.get(name, name))
@@ -41,16 +49,25 @@ class Frames:
         return self.examples().filter("split in ('val', 'test')")
 
     def training_terms(self) -> DataFrame:
-        return similarity.terms_of(self.train()).join(self.records().select("terme"), "terme", "left_semi")
+        return similarity.terms_of(self.train()).join(self.t("termes").select("terme").distinct(), "terme", "left_semi")
 
-    def signature(self, config: Config = RETAINED) -> DataFrame:
+    def lazy_signature(self, config: Config = RETAINED) -> DataFrame:
         return signatures.signatures(self.records(), config, self.training_terms())
 
+    def signature(self, config: Config = RETAINED) -> DataFrame:
+        return self.once(f"signature {config.key}", lambda: self.lazy_signature(config))
+
     def sides(self, rows: DataFrame, config: Config = RETAINED) -> DataFrame:
         return similarity.sides(rows, self.signature(config))
 
+    def leaves(self, config: Config = RETAINED) -> DataFrame:
+        return self.once(f"feuilles {config.key}", lambda: self.sides(self.train(), config))
+
+    def questions(self, config: Config = RETAINED) -> DataFrame:
+        return self.once(f"questions {config.key}", lambda: self.sides(self.asked(), config))
+
     def centers(self, config: Config = RETAINED) -> DataFrame:
-        return similarity.centroids(self.sides(self.train(), config))
+        return self.once(f"centres {config.key}", lambda: similarity.centroids(self.sides(self.train(), config)))
 
     def answers(self, config: Config = RETAINED) -> DataFrame:
         return similarity.centroid_scores(self.asked(), self.signature(config), self.centers(config))
@@ -59,16 +76,18 @@ class Frames:
         return self.asked().select("ex", F.col("rt").alias("attendu"))
 
     def predictions(self, config: Config = RETAINED) -> DataFrame:
-        return classify.with_gap(self.answers(config)).join(self.expected(), "ex")
+        return self.once(f"predictions {config.key}", lambda: classify.with_gap(self.answers(config)).join(self.expected(), "ex"))
 
     def types(self) -> DataFrame:
         return self.train().select("rt").distinct()
 
+    def trees(self, **how) -> DataFrame:
+        return self.once(f"arbres {sorted(how.items())}", lambda: clustering.cluster(self.leaves(), **how))
+
     def balanced(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Leaves, balanced trees over each lot and relation in corpus order, and the scores of all nodes."""
-        leaves = self.sides(self.train())
-        nodes = balanced_trees(self.train(), leaves)
-        return leaves, nodes, classify.node_scores(self.sides(self.asked()), leaves, nodes)
+        nodes = self.once("equilibres", lambda: balanced_trees(self.train(), self.leaves()))
+        return self.leaves(), nodes, self.once("scores", lambda: classify.node_scores(self.questions(), self.leaves(), nodes))
 
     def measures(self) -> DataFrame:
         """A table of measures: a configuration for each pair of line flags, a seed for each line number."""
@@ -250,7 +269,7 @@ def sst_tags(f: Frames) -> DataFrame:
 
 def _signature(config: Config):
     def query(f: Frames) -> DataFrame:
-        return f.signature(config).select("terme", "trait", "symbole", r6("poids").alias("poids"))
+        return f.lazy_signature(config).select("terme", "trait", "symbole", r6("poids").alias("poids"))
 
     query.__doc__ = f"Signatures under {config.key}."
     return query
@@ -265,27 +284,27 @@ SIGNATURES = {
 
 
 def vocabulary(f: Frames) -> DataFrame:
-    return signatures.vocabulary(f.signature())
+    return signatures.vocabulary(f.lazy_signature())
 
 
 def document_frequency(f: Frames) -> DataFrame:
-    return signatures.document_frequency(f.signature())
+    return signatures.document_frequency(f.lazy_signature())
 
 
 def signature_sizes(f: Frames) -> DataFrame:
-    return quality.signature_sizes(f.signature())
+    return quality.signature_sizes(f.lazy_signature())
 
 
 def poor_signatures(f: Frames) -> DataFrame:
-    return quality.poor_signatures(f.signature())
+    return quality.poor_signatures(f.lazy_signature())
 
 
 def top_symbols(f: Frames) -> DataFrame:
-    return quality.top_symbols(f.signature())
+    return quality.top_symbols(f.lazy_signature())
 
 
 def best_by_trait(f: Frames) -> DataFrame:
-    return quality.best_by_trait(f.signature())
+    return quality.best_by_trait(f.lazy_signature())
 
 
 def own_symbol_carriers(f: Frames) -> DataFrame:
@@ -322,21 +341,21 @@ def reference_cosine(f: Frames) -> DataFrame:
 
 
 def leaf_gram(f: Frames) -> DataFrame:
-    return similarity.leaf_gram(f.sides(f.train())).select("lot", "rt", "cote", "i", "j", r6("produit").alias("produit"))
+    return similarity.leaf_gram(f.leaves()).select("lot", "rt", "cote", "i", "j", r6("produit").alias("produit"))
 
 
 def pair_links(f: Frames) -> DataFrame:
-    p = similarity.pair_similarities(similarity.leaf_gram(f.sides(f.train())))
+    p = similarity.pair_similarities(similarity.leaf_gram(f.leaves()))
     return p.select("lot", "rt", "i", "j", r6("lien").alias("lien"), r6("score").alias("score"))
 
 
 def merge_criterion_sweep(f: Frames) -> DataFrame:
-    pairs = quality.lot_pairs(f.sides(f.train())).select("lot", "i", "j", "meme", r6("lien").alias("lien"), r6("score").alias("score"))
+    pairs = quality.lot_pairs(f.leaves()).select("lot", "i", "j", "meme", r6("lien").alias("lien"), r6("score").alias("score"))
     return quality.merge_criterion_sweep(pairs, [0.205, 0.305, 0.405, 0.505, 0.605, 0.705])
 
 
 def noise_signal(f: Frames) -> DataFrame:
-    n = quality.noise_signal(quality.lot_pairs(f.sides(f.train())))
+    n = quality.noise_signal(quality.lot_pairs(f.leaves()))
     return n.select("meme", "n", *[r6(c).alias(c) for c in ("mediane", "c90", "part_haute")])
 
 
@@ -384,7 +403,7 @@ def descent_ranking(f: Frames) -> DataFrame:
 def decisive_symbols(f: Frames) -> DataFrame:
     n = f.train().groupBy("rt").agg(F.count("*").alias("n"))
     profile = f.centers().join(n, "rt").select("rt", "cote", "symbole", r6(F.col("poids") / F.col("n")).alias("poids"))
-    d = classify.decisive_symbols(f.sides(f.asked()), profile, f.predictions())
+    d = classify.decisive_symbols(f.questions(), profile, f.predictions())
     return d.select("ex", "cote", "symbole", "rang", "part")
 
 
@@ -392,7 +411,7 @@ def decisive_symbols(f: Frames) -> DataFrame:
 
 
 def _trees(f: Frames, **how) -> DataFrame:
-    return clustering.cluster(f.sides(f.train()), **how)
+    return f.trees(**how)
 
 
 def _flat(nodes: DataFrame) -> DataFrame:
@@ -429,9 +448,9 @@ def tree_measures(f: Frames) -> DataFrame:
 
 def tree_predictions(f: Frames) -> DataFrame:
     """Descent in the grown trees: the best answer of each example, and where it stopped."""
-    leaves = f.sides(f.train())
-    nodes = clustering.cluster(leaves)
-    stops = classify.descend(classify.node_scores(f.sides(f.asked()), leaves, nodes), nodes)
+    nodes = f.trees()
+    scores = f.once("scores des arbres", lambda: classify.node_scores(f.questions(), f.leaves(), nodes))
+    stops = classify.descend(scores, nodes)
     return classify.stop_kind(classify.ranked(stops, "rt", "noeud").filter("rang = 1")).select("ex", F.col("rt").alias("predit"), "noeud", r6("score").alias("score"), "profondeur", "calculs", "nature")
 
 
