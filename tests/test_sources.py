@@ -27,7 +27,7 @@ def test_raw_corpus(spark, tmp_path):
     assert again.count() == 52 and again.filter("A = ''").count() == 1 and again.filter("candidats is null").count() == 0
     terms = {(r["terme"], r["role"]): (r["relations_associees"], r["nb_occurrences"], r["nb_candidats_ambigus"]) for r in corpus.term_dictionary(again).collect()}
     assert terms["sac", "A"] == ("r_lieu", 0, 1) and terms["lit", "A"] == ("r_x", 50, 0)
-    contexts = corpus.term_contexts(clean.withColumn("ligne_id", F.col("ligne").cast("bigint")))
+    contexts = corpus.term_contexts(again.withColumn("ligne_id", F.monotonically_increasing_id()))
     absent = spark.createDataFrame([("rabbins",), ("sac",), ("plume",)], "terme string").union(spark.createDataFrame([("chat",)], "terme string"))
     known = spark.createDataFrame([("Chat",)], "terme string")
     proposals = {r["terme"]: r["raison"] for r in corpus.replacement_proposals(absent, contexts, known).collect()}
