@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treillis.functions.text import comparison_form
+from treillis.operators import pairs
 
 
 def corpus_counts(corpus: DataFrame) -> DataFrame:
@@ -114,25 +115,11 @@ def same_signatures(a: DataFrame, b: DataFrame) -> DataFrame:
     return of(a, "x").join(of(b, "y"), "terme").agg(F.count("*").alias("n"), F.count_if(F.col("x") == F.col("y")).alias("egales"))
 
 
-def merge_criterion_sweep(similarities: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Pairs over each threshold on both sides and in the mean, by ``meme`` (same relation or not)."""
-    each = similarities.withColumn("seuil", F.explode(F.array(*map(F.lit, thresholds))))
-    return each.groupBy("meme", "seuil").agg(F.count("*").alias("n"), F.count_if(F.col("lien") > F.col("seuil")).alias("n_deux"), F.count_if(F.col("score") > F.col("seuil")).alias("n_moyenne"))
+def merge_criterion_sweep(side_rows: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Pairs of all examples that share a symbol, and those over each threshold on both sides and in the mean, by ``meme`` (same relation or not)."""
+    return pairs.threshold_counts(side_rows, thresholds)
 
 
-def lot_pairs(side_rows: DataFrame) -> DataFrame:
-    """Similarities of all pairs of a lot's examples that share a symbol, with ``meme`` relation or not."""
-    a = side_rows.select("lot", "cote", "symbole", F.col("ex").alias("i"), F.col("rt").alias("ri"), F.col("poids").alias("p"))
-    b = side_rows.select("lot", "cote", "symbole", F.col("ex").alias("j"), F.col("rt").alias("rj"), F.col("poids").alias("q"))
-    n = side_rows.groupBy("lot", "ex", "cote").agg(F.sqrt(F.sum(F.col("poids") * F.col("poids"))).alias("n"))
-    dots = a.join(b, ["lot", "cote", "symbole"]).filter("i < j").groupBy("lot", "cote", "i", "j", "ri", "rj").agg(F.sum(F.col("p") * F.col("q")).alias("d"))
-    sims = dots.join(n.toDF("lot", "i", "cote", "ni"), ["lot", "i", "cote"]).join(n.toDF("lot", "j", "cote", "nj"), ["lot", "j", "cote"]).withColumn("s", F.col("d") / (F.col("ni") * F.col("nj")))
-    of = lambda c: F.coalesce(F.max(F.when(F.col("cote") == c, F.col("s"))), F.lit(0.0))
-    both = sims.groupBy("lot", "i", "j", (F.col("ri") == F.col("rj")).alias("meme")).agg(of("L").alias("l"), of("R").alias("r"))
-    return both.select("lot", "i", "j", "meme", F.least("l", "r").alias("lien"), (0.5 * (F.col("l") + F.col("r"))).alias("score"))
-
-
-def noise_signal(similarities: DataFrame) -> DataFrame:
-    """Median, upper decile and share over one half of the scores, of pairs of one relation and of different ones."""
-    q = lambda p: F.percentile("score", F.lit(p))
-    return similarities.groupBy("meme").agg(F.count("*").alias("n"), q(0.5).alias("mediane"), q(0.9).alias("c90"), F.avg((F.col("score") > 0.5).cast("int")).alias("part_haute"))
+def noise_signal(side_rows: DataFrame) -> DataFrame:
+    """Median, upper decile and share over one half of the scores of all pairs that share a symbol, of one relation and of different ones."""
+    return pairs.score_percentiles(side_rows, {"mediane": 0.5, "c90": 0.9})

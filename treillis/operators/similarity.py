@@ -1,13 +1,14 @@
 """Similarity of sparse vectors in long form, and the sides of examples.
 
-An example has a left and a right term, whose signatures stay apart as sides L and R. Examples belong to a lot (a
-corpus file, at most some hundred rows), within which they are compared; every join has the lot in its key, so that
-work grows with the number of lots, not with the square of the rows."""
+An example has a left and a right term, whose signatures stay apart as sides L and R. Pairs are those of the whole
+corpus; the lot (a corpus file) of an example is in the keys of trees and of scores against them."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treillis.operators import pairs
+
 
 def examples(corpus: DataFrame) -> DataFrame:
     """Usable rows of a corpus: (lot, ex, rt, ordre, split, A, B, det, definitude, syntagme); ``ordre`` breaks ties.
@@ -57,19 +58,19 @@ def side_norms(side_rows: DataFrame) -> DataFrame:
 
 
 def leaf_gram(side_rows: DataFrame) -> DataFrame:
-    """Dot products of the pairs i <= j (by order) of a lot's examples of one relation, by side."""
-    a = side_rows.select("lot", "rt", "cote", "symbole", F.col("ex").alias("i"), F.col("ordre").alias("oi"), F.col("poids").alias("p"))
-    b = side_rows.select("lot", "rt", "cote", "symbole", F.col("ex").alias("j"), F.col("ordre").alias("oj"), F.col("poids").alias("q"))
-    return a.join(b, ["lot", "rt", "cote", "symbole"]).filter("oi < oj or (oi = oj and i <= j)").groupBy("lot", "rt", "cote", "i", "j").agg(F.sum(F.col("p") * F.col("q")).alias("produit"))
+    """Dot products of the pairs i <= j (by order) of all examples of one relation, by side: (rt, cote, i, j, produit)."""
+    return pairs.gram(side_rows)
 
 
 def pair_similarities(gram: DataFrame) -> DataFrame:
-    """(lot, rt, i, j, sim_l, sim_r, lien, score) of different pairs with something in common; the link is the lesser, the score the mean."""
-    own = gram.filter("i = j").select("lot", "rt", "cote", F.col("i").alias("e"), F.sqrt("produit").alias("n"))
-    a, b = own.select("lot", "rt", "cote", F.col("e").alias("i"), F.col("n").alias("ni")), own.select("lot", "rt", "cote", F.col("e").alias("j"), F.col("n").alias("nj"))
-    sims = gram.filter("i <> j").join(a, ["lot", "rt", "cote", "i"]).join(b, ["lot", "rt", "cote", "j"]).withColumn("sim", cosine(F.col("produit"), F.col("ni"), F.col("nj")))
+    """(rt, i, j, sim_l, sim_r, lien, score) of different pairs with something in common; the link is the lesser, the score the mean.
+
+    For grams that are at hand; pairs.links finds the same without shuffling pairs."""
+    own = gram.filter("i = j").select("rt", "cote", F.col("i").alias("e"), F.sqrt("produit").alias("n"))
+    a, b = own.select("rt", "cote", F.col("e").alias("i"), F.col("n").alias("ni")), own.select("rt", "cote", F.col("e").alias("j"), F.col("n").alias("nj"))
+    sims = gram.filter("i <> j").join(a, ["rt", "cote", "i"]).join(b, ["rt", "cote", "j"]).withColumn("sim", cosine(F.col("produit"), F.col("ni"), F.col("nj")))
     of = lambda c: F.coalesce(F.max(F.when(F.col("cote") == c, F.col("sim"))), F.lit(0.0))
-    both = sims.groupBy("lot", "rt", "i", "j").agg(of("L").alias("sim_l"), of("R").alias("sim_r"))
+    both = sims.groupBy("rt", "i", "j").agg(of("L").alias("sim_l"), of("R").alias("sim_r"))
     return both.withColumn("lien", F.least("sim_l", "sim_r")).withColumn("score", 0.5 * (F.col("sim_l") + F.col("sim_r")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from treillis.functions import text
 from treillis.model import REFERENCE, RETAINED, Config
-from treillis.operators import classify, clustering, crossval, evaluate, quality, signatures, similarity
+from treillis.operators import classify, clustering, crossval, evaluate, pairs, quality, signatures, similarity
 from treillis.session import cut, table
 from treillis.sources import collection, corpus as corpus_files, store
 
@@ -341,21 +341,19 @@ def reference_cosine(f: Frames) -> DataFrame:
 
 
 def leaf_gram(f: Frames) -> DataFrame:
-    return similarity.leaf_gram(f.leaves()).select("lot", "rt", "cote", "i", "j", r6("produit").alias("produit"))
+    return similarity.leaf_gram(f.leaves()).select("rt", "cote", "i", "j", r6("produit").alias("produit"))
 
 
 def pair_links(f: Frames) -> DataFrame:
-    p = similarity.pair_similarities(similarity.leaf_gram(f.leaves()))
-    return p.select("lot", "rt", "i", "j", r6("lien").alias("lien"), r6("score").alias("score"))
+    return pairs.links(f.leaves()).select("rt", "i", "j", r6("lien").alias("lien"), r6("score").alias("score"))
 
 
 def merge_criterion_sweep(f: Frames) -> DataFrame:
-    pairs = quality.lot_pairs(f.leaves()).select("lot", "i", "j", "meme", r6("lien").alias("lien"), r6("score").alias("score"))
-    return quality.merge_criterion_sweep(pairs, [0.205, 0.305, 0.405, 0.505, 0.605, 0.705])
+    return quality.merge_criterion_sweep(f.leaves(), [0.205, 0.305, 0.405, 0.505, 0.605, 0.705])
 
 
 def noise_signal(f: Frames) -> DataFrame:
-    n = quality.noise_signal(quality.lot_pairs(f.leaves()))
+    n = quality.noise_signal(f.leaves())
     return n.select("meme", "n", *[r6(c).alias(c) for c in ("mediane", "c90", "part_haute")])
 
 
