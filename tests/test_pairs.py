@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from treillis.operators import pairs, quality, similarity
+from treillis.operators import classify, clustering, pairs, quality, similarity
 
 SIDES = "lot string, ex bigint, rt string, ordre int, split string, cote string, symbole string, poids double"
 
@@ -63,3 +63,23 @@ def test_reports_cross_files(spark):
     assert similarity.pair_similarities(similarity.leaf_gram(frame)).count() == sum(v[0] for v in sims.values())
     assert {r["n"] for r in quality.merge_criterion_sweep(frame, [0.5]).collect()} == {sum(v[0] == m for v in sims.values()) for m in (False, True)}
     assert sum(r["n"] for r in quality.noise_signal(frame).collect()) == len(sims)
+
+
+@pytest.mark.parametrize("which", ["tous", "racines", "feuilles"])
+def test_best_node_of_all_files(spark, which):
+    rows, vectors = drawn()
+    train = spark.createDataFrame([r for r in rows if r[1] % 5 and r[0] != "f7"], SIDES)
+    asked = spark.createDataFrame([r for r in rows if not r[1] % 5 or r[0] == "f7"], SIDES)  # f7 has no training row
+    nodes = clustering.cluster(train).cache()
+    keep = {"tous": lambda n: True, "racines": lambda n: n["parent"] is None, "feuilles": lambda n: n["enfants"] is None}[which]
+    among = [n for n in nodes.collect() if keep(n)]
+    norm = lambda d: sum(v * v for v in d.values()) ** 0.5
+    sums = {}
+    for n in among:
+        sums[n["rt"], n["lot"], n["noeud"]] = [{s: sum(vectors[e][2][k].get(s, 0) for e in n["feuilles"]) for e in n["feuilles"] for s in vectors[e][2][k]} for k in (0, 1)]
+    got = {r["ex"]: r for r in classify.best_everywhere(asked, train, nodes, which).collect()}
+    assert set(got) == {e for e in vectors if not e % 5 or e % 8 == 7}
+    for ex, r in got.items():
+        scores = {k: round(sum(sum(w * y.get(s, 0) for s, w in x.items()) / (norm(x) * norm(y)) for x, y in zip(vectors[ex][2], v)) / 2, 9) for k, v in sums.items()}
+        key = min(scores, key=lambda k: (-scores[k], k))  # noqa: B023
+        assert (r["rt"], r["lot"], r["noeud"], r["calculs"]) == (*key, len(among)) and r["score"] == pytest.approx(scores[key], abs=2e-9)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treillis.model import TIGHT
+from treillis.operators import pairs
 from treillis.operators.clustering import TREE, closure
 from treillis.operators.similarity import cosine, side_norms
 
@@ -67,6 +68,15 @@ def best_nodes(scores: DataFrame, nodes: DataFrame, which: str = "tous") -> Data
     return among.withColumn("calculs", F.count("*").over(w)).withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
 
 
+def best_everywhere(questions: DataFrame, leaves: DataFrame, nodes: DataFrame, which: str = "tous") -> DataFrame:
+    """best_nodes() over the trees of all files, not only the question's own: (ex, lot, rt, noeud, score, calculs), the lot being the tree's."""
+    keep = {"tous": F.lit(True), "racines": F.col("parent").isNull(), "feuilles": F.col("enfants").isNull()}[which]
+    among = nodes.filter(keep)
+    members = among.select("lot", "rt", "noeud", F.explode("feuilles").alias("ex"))
+    vectors = members.join(leaves, ["lot", "rt", "ex"]).groupBy("lot", "rt", "noeud", "cote", "symbole").agg(F.sum("poids").alias("poids"))
+    return pairs.best(questions, vectors).crossJoin(among.agg(F.count("*").alias("calculs")))  # one row
+
+
 def gap(first: Column, second: Column) -> Column:
     """Relative gap of the two best scores; 1 without a second or with a best score of 0."""
     return F.when(second.isNull() | (first == 0), 1.0).otherwise((first - second) / F.nullif(first, F.lit(0.0)))

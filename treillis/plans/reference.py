@@ -84,9 +84,12 @@ class Frames:
     def trees(self, **how) -> DataFrame:
         return self.once(f"arbres {sorted(how.items())}", lambda: clustering.cluster(self.leaves(), **how))
 
+    def balanced_nodes(self) -> DataFrame:
+        return self.once("equilibres", lambda: balanced_trees(self.train(), self.leaves()))
+
     def balanced(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Leaves, balanced trees over each lot and relation in corpus order, and the scores of all nodes."""
-        nodes = self.once("equilibres", lambda: balanced_trees(self.train(), self.leaves()))
+        nodes = self.balanced_nodes()
         return self.leaves(), nodes, self.once("scores", lambda: classify.node_scores(self.questions(), self.leaves(), nodes))
 
     def measures(self) -> DataFrame:
@@ -373,18 +376,18 @@ def nearest_centroid(f: Frames) -> DataFrame:
 
 
 def nearest_neighbour(f: Frames) -> DataFrame:
-    leaves, nodes, scores = f.balanced()
-    return classify.best_nodes(scores, nodes, "feuilles").select("ex", F.col("rt").alias("predit"), "noeud", r6("score").alias("score"), "calculs")
+    found = classify.best_everywhere(f.questions(), f.leaves(), f.balanced_nodes(), "feuilles")
+    return found.select("ex", "lot", F.col("rt").alias("predit"), "noeud", r6("score").alias("score"), "calculs")
 
 
 def exhaustive(f: Frames) -> DataFrame:
-    leaves, nodes, scores = f.balanced()
-    return classify.best_nodes(scores, nodes).select("ex", F.col("rt").alias("predit"), "noeud", r6("score").alias("score"), "calculs")
+    found = classify.best_everywhere(f.questions(), f.leaves(), f.balanced_nodes())
+    return found.select("ex", "lot", F.col("rt").alias("predit"), "noeud", r6("score").alias("score"), "calculs")
 
 
 def roots_only(f: Frames) -> DataFrame:
-    leaves, nodes, scores = f.balanced()
-    return classify.best_nodes(scores, nodes, "racines").select("ex", F.col("rt").alias("predit"), "noeud", r6("score").alias("score"), "calculs")
+    found = classify.best_everywhere(f.questions(), f.leaves(), f.balanced_nodes(), "racines")
+    return found.select("ex", "lot", F.col("rt").alias("predit"), "noeud", r6("score").alias("score"), "calculs")
 
 
 def descent(f: Frames) -> DataFrame:
