@@ -26,8 +26,8 @@ def brute(rows):
         a, b = set(a), set(b)
         if len(a) < 12 or len(b) < 12 or u % 2 and v % 2 or 10 * len(a & b) < 7 * len(a | b):
             continue
-        out.add((min(u, v), max(u, v)) if u % 2 == v % 2 else ((u, v) if v % 2 else (v, u)))
-    return {(x // 2, y // 2) for x, y in out}
+        out.add((min(u // 2, v // 2), max(u // 2, v // 2)))
+    return out
 
 
 def test_pairs_and_links_against_brute_force(spark, monkeypatch):

@@ -21,5 +21,5 @@ def oracle_sql() -> dict[str, str]:
         "p3_records": f"WITH {_COPIES} SELECT premier AS enr_id, count(*) AS n_copies FROM groupes GROUP BY 1 UNION ALL SELECT enr_id, 1 FROM termes_jdm WHERE forme_normalisee IS NULL OR H IS NULL",
         "p4_found": f"WITH {_VALUES} SELECT trait, symbole, marque FROM marques WHERE marque IS NOT NULL",
         "p4_counts": f"WITH {_VALUES} SELECT trait, symbole, n_occurrences, n_fiches, marque FROM marques",
-        "p5_found": f"WITH {_VALUES.split(',\ncomptes')[0]}, {_SETS} SELECT id_a, id_b FROM communs WHERE 10 * c >= 7 * (na + nb - c)",
+        "p5_found": f"WITH {_VALUES.split(',\ncomptes')[0]}, {_SETS} SELECT least(id_a, id_b) AS id_a, greatest(id_a, id_b) AS id_b FROM communs WHERE 10 * c >= 7 * (na + nb - c)",
     }

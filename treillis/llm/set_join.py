@@ -186,14 +186,12 @@ class SetJoin:
         return mine.select((F.floor(F.col("uid") / 2)).alias("id"), (~is_rec).alias("reference"), F.col("classe"), F.col("n").alias("n_classe"), around.alias("n_liens"))
 
     def pairs(self) -> DataFrame:
-        """All pairs ``id_a``, ``id_b``: of two records the smaller id first, else the record, then the reference."""
+        """All pairs ``id_a``, ``id_b``, the smaller id first."""
         members = self.members()
         a, b = members.toDF("_a", "classe_a"), members.toDF("_b", "classe_b")
         apart = self.class_pairs().join(a, "classe_a").join(b, "classe_b").select("_a", "_b")
         several = self.classes.filter("n > 1").select(F.col("classe").alias("classe_a"))
         twin = a.join(several, "classe_a").join(members.toDF("_b", "classe_a"), "classe_a").filter("_a < _b").select("_a", "_b")
         x, y = F.col("_a"), F.col("_b")
-        swap = (x % 2 > y % 2) | ((x % 2 == y % 2) & (x > y))
-        return apart.union(twin).filter((x % 2 == 0) | (y % 2 == 0)).select(
-            F.floor(F.when(swap, y).otherwise(x) / 2).cast("long").alias("id_a"), F.floor(F.when(swap, x).otherwise(y) / 2).cast("long").alias("id_b")
-        )
+        ids = [F.floor(c / 2).cast("long") for c in (x, y)]
+        return apart.union(twin).filter((x % 2 == 0) | (y % 2 == 0)).select(F.least(*ids).alias("id_a"), F.greatest(*ids).alias("id_b"))

@@ -190,10 +190,11 @@ class SplitOverlap:
         return cut(found)
 
     def pairs(self, names: tuple[str, str]) -> DataFrame:
-        """Every pair of a training row and an evaluation row."""
-        a = self.members.filter("cote = 'a'").select(F.col("_id").alias(names[0]), "champ", F.col("texte").alias("texte_a"))
-        b = self.members.filter("cote = 'b'").select(F.col("_id").alias(names[1]), "champ", F.col("texte").alias("texte_b"))
-        return self.text_pairs().join(a, ["champ", "texte_a"]).join(b, ["champ", "texte_b"]).select(*names).distinct()
+        """Every pair of a training row and an evaluation row, the smaller key first."""
+        a = self.members.filter("cote = 'a'").select(F.col("_id").alias("_a"), "champ", F.col("texte").alias("texte_a"))
+        b = self.members.filter("cote = 'b'").select(F.col("_id").alias("_b"), "champ", F.col("texte").alias("texte_b"))
+        both = self.text_pairs().join(a, ["champ", "texte_a"]).join(b, ["champ", "texte_b"])
+        return both.select(F.least("_a", "_b").alias(names[0]), F.greatest("_a", "_b").alias(names[1])).distinct()
 
     def report(self, *by: str) -> DataFrame:
         """Rows of the evaluation splits, and how many of them stand in training, by the given columns; no pairs are made."""
