@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -54,8 +55,9 @@ def test_collection(spark, tmp_path):
     types = spark.createDataFrame([(4, "r", None)], "id int, nom string, description string")
     whole = collection.assemble(spark.createDataFrame([("t",), ("ts",)], "terme string"), h, collection.incoming_histogram(edges, types), tags, spark.createDataFrame([], "terme string, nom string, poids double"))
     assert {r["terme"]: (r["H"] and len(r["H"]), r["diagnostic_singulier"]) for r in whole.collect()}["t"] == (2, None)
-    status = spark.createDataFrame([(404, ""), (500, '{"detail":"Node not found"}'), (500, "{}"), (200, "{}")], "s int, b string")
-    assert [r[0] for r in status.select(collection.is_missing(F.col("s"), F.col("b"))).collect()] == [True, True, False, False]
+    assert {tuple(r) for r in collection.first_existing_variant(terms, spark.createDataFrame([("A",), ("zz",)], "terme string")).collect()} == set()
+    collection.repair(spark, str(tmp_path / "c.jsonl"), str(tmp_path / "repaired"))
+    assert spark.read.text(str(tmp_path / "repaired")).count() == 3
 
 
 def test_client(tmp_path):
@@ -73,7 +75,12 @@ def test_client(tmp_path):
     with pytest.raises(PermissionError):
         client.get("bad")
     assert [c["cached"] for c in client.calls] == [False, True, False, True]
-    assert network.canonical_params({"b": True, "a": [2, 1], "c": None}) == [["a", "1"], ["a", "2"], ["b", "true"]]
+    request = network.Request.of("relations", "to", "chat noir", b=True, a=[2, 1], c=None)
+    assert request.options == (("a", "1"), ("a", "2"), ("b", "true")) and request.path == "/relations/to/chat%20noir"
+    assert request.key == hashlib.sha256(b'{"params": [["a", "1"], ["a", "2"], ["b", "true"]], "path": "/relations/to/chat%20noir"}').hexdigest()
+    assert (tmp_path / (network.Request.of("node_by_name", "chat noir").key + ".json")).exists()
+    told = [(404, ""), (500, '{"detail":"Node not found"}'), (200, '{"status_code":404}'), (500, "{}"), (200, "{}"), (200, "[]"), (500, "x")]
+    assert [network.Answer(*a).missing for a in told] == [True, True, True, False, False, False, False]
     with pytest.raises(ConnectionError):
         network.Client("http://h", str(tmp_path), offline=True).node("autre")
 
@@ -86,6 +93,36 @@ def test_data_source(spark, tmp_path):
     assert [tuple(r) for r in got] == [("a", 1, 2, "b", 6, 3.0)]
 
 
+def test_collecting_from_the_network(spark, tmp_path):
+    edge = lambda b, t, w: {"node1": 1, "node2": b, "type": t, "w": w}
+    nodes = [{"id": 2, "name": "navire", "type": 1}, {"id": 3, "name": "_INFO-SEM-MASC", "type": 36}]
+    answers = {
+        "node_by_name/bac": {"id": 1, "name": "bac", "type": 1, "w": 50}, "relations/from/bac": {"nodes": nodes, "relations": [edge(2, 6, 30), edge(2, 6, -1), edge(3, 36, 9)]},
+        "relations/from/ba": {}, "relations/to/bac": {"relations": [{"type": 9, "w": 1}, {"type": 9, "w": 2}, {"type": 4, "w": 0}]},
+    }
+
+    def send(url, limit):
+        path = url.split("/", 3)[3].split("?")[0]
+        return (200, json.dumps(answers[path])) if path in answers else (404, "") if "rien" in path else (403, "")
+
+    client = network.Client("http://h", str(tmp_path / "cache"), send=send, sleep=lambda s: None)
+    for name in ("bac", "ba"):
+        for kind in (6, 36, 1):
+            client.relations(name, True, [kind])
+    client.node("bac"), client.relations("bac", False, narrow=True)
+    with pytest.raises(network.NotFound):
+        client.node("rien")
+    fetch = collection.network_records(spark, {"cache": str(tmp_path / "cache"), "log": str(tmp_path / "log")}, {"r_isa": 6, "r_infopot": 36, "r_raff_sem": 1, "r_patient": 9})
+    terms = spark.createDataFrame([("bac",), ("rien",), ("panne",)], "terme string")
+    done = spark.createDataFrame([], "terme string")
+    assert collection.collect_increment(terms, done, fetch, str(tmp_path / "fiches"), batch=2) == 2
+    got = {r["terme"]: r for r in spark.read.schema(RECORD_SCHEMA).json(str(tmp_path / "fiches")).collect()}
+    assert [(h["nom"], h["poids"]) for h in got["bac"]["H"]] == [("navire", 30.0)] and [tuple(t) for t in got["bac"]["TRT"]] == [("r_patient", 2)]
+    assert [s["tag"] for s in got["bac"]["SST"]] == ["MASC"] and got["bac"]["noeud"]["id"] == 1 and got["rien"]["existe"] is False
+    assert [r["terme"] for r in spark.read.json(str(tmp_path / "fiches_erreurs")).collect()] == ["panne"]
+    assert spark.read.json(str(tmp_path / "log")).filter("cached").count() > 0
+
+
 def test_store_and_streams(spark, tmp_path):
     m = spark.createDataFrame([("k", 1, 0, 0.5), ("k", 1, 1, 0.6), ("j", 1, 0, 0.7)], "cle string, graine int, pli int, f1 double")
     store.save(m, str(tmp_path / "m"), "cle")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from treillis.functions.text import comparison_form, settle, split_candidates, strip
 from treillis.model import CLEAN_COLUMNS, CLEAN_SCHEMA
+from treillis.sources.collection import first_existing_variant
 
 #: The first lines of a file are for training.
 TRAIN_LINES = 50
@@ -81,11 +82,8 @@ def term_contexts(rows: DataFrame) -> DataFrame:
 
 def replacement_proposals(absent: DataFrame, contexts: DataFrame, known: DataFrame) -> DataFrame:
     """Absent terms with each of their contexts and the first existing spelling variant; terms that only stand as candidates get none."""
-    from treillis.functions.text import spelling_variants
-
     firm = contexts.groupBy("terme").agg(F.every(F.col("origine") == "candidat").alias("_seul"))
-    tried = absent.select("terme", F.posexplode(spelling_variants(F.col("terme"))).alias("pos", "v")).join(known.select(F.col("terme").alias("v")).distinct(), "v", "left_semi")
-    best = tried.groupBy("terme").agg(F.min_by("v", "pos").alias("candidat"))
+    best = first_existing_variant(absent, known).withColumnRenamed("variante", "candidat")
     rows = absent.join(contexts, "terme").join(firm, "terme").join(best, "terme", "left")
     reason = F.when(F.col("_seul"), "candidat de découpage seulement").when(F.col("candidat").isNull(), "aucune variante existante").otherwise("variante existante")
     return rows.select("terme", "role", "origine", "ligne_id", "relation", "syntagme", reason.alias("raison"), F.when(~F.col("_seul"), F.col("candidat")).alias("candidat"))
