@@ -3,10 +3,10 @@
 Compact windows: over the hashes of all grams of a text, a node of the Cartesian tree (smallest hash at
 the root, leftmost of equals) is the gram that has the least hash in a whole interval of subsequences.
 The nodes whose interval is at least as wide as a span cover every span, about 2 / width of them a
-character. A passage standing in two records has the same least gram in both, so the join on that gram's
+character; they are found without building the tree, as the least grams of block prefixes and suffixes. A passage standing in two records has the same least gram in both, so the join on that gram's
 hash loses no passage, and as the records agree on the passage word for word, one hash function decides as
 well as many. The interval of a node is joined with its equals as a whole (digest of its text); intervals
-that share their gram but not their text are compared span by span.
+that share their gram but not their text are compared by hashes of shorter spans, and only where those agree span by span.
 
 Defined cases: null texts and texts shorter than a span have no passage; a passage repeated only within
 one record isn't shared; a long text is worked on in overlapping parts and keeps every span; equal texts of
@@ -25,6 +25,8 @@ from treillis.session import bound_arrow_batches, cut
 
 #: Least length of a passage and length of the grams hashed, in code points.
 SPAN, GRAM = 200, 40
+#: Bits (as a power of two) of the bitmap that says whose texts are needed: at most 2**17 rows of 64 bits.
+BITMAP = 23
 #: Code points worked on at once; positions must fit the low bits of a packed hash.
 SLAB_BITS = 19
 SLAB = 1 << SLAB_BITS
@@ -141,42 +143,72 @@ def windows_of(documents: DataFrame, key: str = "doc_id", text: str = "text", sp
     return long.mapInArrow(run, f"doc {kind}, ancre bigint, empreinte bigint, de int, a int")
 
 
-def _hashes_of(partial: DataFrame, documents: DataFrame, key: str, text: str, span: int, gram: int) -> DataFrame:
-    """For each given window (ancre, empreinte, bas, haut, ouvert, doc, de, a) the hashes of all its spans, and coarse ones.
+def _texts_of(wanted: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
+    """The texts (``_t``) of the records with wanted windows, and those windows (``_w``).
 
-    ``fins`` has the hash of each span, from the window's first. ``gros`` has hashes of every STEP-th shorter
-    span, counted from the anchor: a shared span holds one that both records hash alike."""
-    wanted = partial.groupBy("doc").agg(F.collect_list(F.struct("ancre", "empreinte", "de", "a", "bas", "haut", "ouvert")).alias("_w"))  # bounded by one text
-    kind = documents.schema[key].dataType.simpleString()
-    step = max(1, (span - gram) // 8)
+    A bitmap of hashed keys, of at most 2**BITMAP bits whatever the number of records, goes to every task, so that
+    texts nobody asks for aren't shuffled."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP)).cast("long")
+    asked = wanted.select(slot("doc").alias("_h")).groupBy(F.shiftright("_h", 6).alias("_mot")).agg(F.expr("bit_or(shiftleft(1L, cast(_h & 63 as int)))").alias("_bits"))
+    long = documents.select(F.col(key).alias("doc"), F.col(text).alias("_t")).withColumn("_h", slot("doc"))
+    some = long.join(F.broadcast(cut(asked)), F.shiftright("_h", 6) == F.col("_mot")).filter("bit_get(_bits, cast(_h & 63 as int)) = 1")
+    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "doc"])).alias("_w"))  # bounded by one text
+    return some.select("doc", "_t").join(lists, "doc").select("_t", "_w")
+
+
+def _step(span: int, gram: int) -> int:
+    """Distance of the shorter spans that are compared before whole ones."""
+    return max(1, (span - gram) // 8)
+
+
+def _coarse(texts: DataFrame, kind: str, span: int, gram: int) -> DataFrame:
+    """Hashes (``gros``) of every STEP-th shorter span of the given windows, counted from the anchor, with their ``place``:
+    a shared span holds one that both records hash alike."""
+    step = _step(span, gram)
     short = span - step + 1
+    kept = ["ancre", "empreinte", "bas", "haut", "ouvert"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text_, want in zip(batch.column(0), batch.column(1)):
-                flat = want.values
-                body = text_.as_py()
-                fine, coarse, places = [], [], []
+            for text, want in zip(batch.column(0), batch.column(1)):
+                flat, body = want.values, text.as_py()
+                places, hashes = [], []
                 for x, y in zip(flat.field("de").to_pylist(), flat.field("a").to_pylist()):
                     values = _codes(body[x : y + span])
-                    fine.append(_mix(_Roll(values, _BASE_2).every(span)))
                     roll = _Roll(values, _BASE_1)
                     anchor = int((_mix(roll.every(gram)) >> np.uint64(SLAB_BITS + 1)).argmin())
                     at = np.arange(anchor % step, len(values) - short + 1, step)
                     places.append(at)
-                    coarse.append(_mix(roll.slices(at, at + short)))
-                lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate(parts), kind))
-                yield pa.RecordBatch.from_arrays(
-                    [*(flat.field(c) for c in ("ancre", "empreinte", "bas", "haut", "ouvert")), lists([f.view(np.int64) for f in fine], pa.int64()), lists([c.view(np.int64) for c in coarse], pa.int64()), lists([p.astype(np.int32) for p in places], pa.int32())],
-                    names=["ancre", "empreinte", "bas", "haut", "ouvert", "fins", "gros", "places"],
-                )
+                    hashes.append(_mix(roll.slices(at, at + short)))
+                row = pa.array(np.repeat(np.arange(len(flat)), [len(p) for p in places]))
+                columns = [flat.field(c).take(row) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32))], names=[*kept, "gros", "place"])
+
+    return texts.mapInArrow(run, f"ancre bigint, empreinte bigint, bas {kind}, haut {kind}, ouvert boolean, gros bigint, place int")
+
+
+def _fine(texts: DataFrame, kind: str, span: int, gram: int) -> DataFrame:
+    """Hashes (``passage``) of the spans of the given windows that hold a shorter span at one of the ``grille``, by ``ecart``
+    from the window's first."""
+    step = _step(span, gram)
+    kept = ["ancre", "empreinte", "bas", "haut", "ouvert"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, want in zip(batch.column(0), batch.column(1)):
+                flat, body = want.values, text.as_py()
+                starts, hashes = [], []
+                for x, y, grid in zip(flat.field("de").to_pylist(), flat.field("a").to_pylist(), flat.field("grille").to_pylist()):
+                    values = _codes(body[x : y + span])
+                    near = (np.array(grid)[:, None] - np.arange(step)).ravel()
+                    near = np.unique(near[(near >= 0) & (near <= y - x)])
+                    starts.append(near)
+                    hashes.append(_mix(_Roll(values, _BASE_2).slices(near, near + span)))
+                row = pa.array(np.repeat(np.arange(len(flat)), [len(p) for p in starts]))
+                columns = [flat.field(c).take(row) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64))], names=[*kept, "ecart", "passage"])
 
-    return (
-        documents.select(F.col(key).alias("doc"), F.col(text).alias("_t"))
-        .join(wanted, "doc")
-        .select("_t", "_w")
-        .mapInArrow(run, f"ancre bigint, empreinte bigint, bas {kind}, haut {kind}, ouvert boolean, fins array<bigint>, gros array<bigint>, places array<int>")
-    )
+    return texts.mapInArrow(run, f"ancre bigint, empreinte bigint, bas {kind}, haut {kind}, ouvert boolean, ecart int, passage bigint")
 
 
 def _of_two(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -214,15 +246,13 @@ class SharedSpans:
             told = known.select(F.col("doc").alias("bas"), F.lit(True).alias("_k"))
             groups = groups.join(told, "bas", "left").withColumn("ouvert", F.col("ouvert") & F.col("_k").isNull())
         several = groups.groupBy("ancre").agg(F.count("*").alias("_n"), F.max("ouvert").alias("_o")).filter("_n > 1 and _o").select("ancre")
-        partial = groups.join(several, "ancre").select(*own, "bas", "haut", "ouvert", "ici.doc", "ici.de", "ici.a")
-        hashed = cut(_hashes_of(partial, self.documents, self.key, self.text, self.span, self.gram))
-        coarse = hashed.select(*own, "bas", "haut", "ouvert", F.explode(F.arrays_zip("gros", "places")).alias("x")).select(*own, "bas", "haut", "ouvert", "x.gros", "x.places")
-        alike = coarse.join(_of_two(coarse, ["ancre", "gros"]), ["ancre", "gros"], "left_semi").groupBy(*own).agg(F.collect_set("places").alias("grille"))  # a few of one window
-        step = max(1, (self.span - self.gram) // 8)
-        starts = F.array_distinct(F.flatten(F.transform("grille", lambda g: F.sequence(F.greatest(g - (step - 1), F.lit(0)), F.least(g, F.size("fins") - 1)))))
-        within = F.transform("grille", lambda g: F.when(g - (step - 1) < F.size("fins"), g))
-        near = hashed.drop("gros", "places").join(alike, own).withColumn("grille", F.array_compact(within)).filter(F.size("grille") > 0)
-        single = near.select(*own, "bas", "haut", "ouvert", "fins", F.explode(starts).alias("ecart")).select(*own, "bas", "haut", "ouvert", "ecart", F.get("fins", F.col("ecart")).alias("passage"))
+        partial = cut(groups.join(several, "ancre").select(*own, "bas", "haut", "ouvert", "ici.doc", "ici.de", "ici.a"))
+        kind = self.documents.schema[self.key].dataType.simpleString()
+        texts = lambda wanted: _texts_of(wanted, self.documents, self.key, self.text)
+        coarse = cut(_coarse(texts(partial), kind, self.span, self.gram))
+        alike = coarse.join(_of_two(coarse, ["ancre", "gros"]), ["ancre", "gros"], "left_semi").groupBy(*own).agg(F.collect_set("place").alias("grille"))  # a few of one window
+        near = cut(partial.join(alike, own))
+        single = cut(_fine(texts(near), kind, self.span, self.gram))
         # A span is needed only where its own window isn't shared as a whole.
         return single.filter("ouvert").join(_of_two(single, ["ancre", "passage"]), ["ancre", "passage"], "left_semi")
 
