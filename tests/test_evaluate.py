@@ -18,7 +18,6 @@ def test_metrics(spark):
 
 
 def test_exact_tests(spark):
-    assert evaluate.sign_test_p(39, 29) == pytest.approx(0.274990, abs=1e-6)
     changed = spark.createDataFrame([("corrige",)] * 39 + [("casse",)] * 29 + [("autre",)], "changement string")
     assert evaluate.sign_test(changed).first()["p"] == pytest.approx(0.274990, abs=1e-6)
     for signs, p in (([1] * 10, 0.001953), ([1, -1, -1, -1, -1, -1, 1, -1, -1, 1], None)):
@@ -28,6 +27,8 @@ def test_exact_tests(spark):
             assert row["w_plus"] == 55 and row["p"] == pytest.approx(p, abs=1e-6)
         else:
             assert row["w_plus"] == 18 and row["p"] == pytest.approx(0.375, abs=1e-6)
+    with pytest.raises(Exception, match="more than 20"):
+        evaluate.wilcoxon(spark.createDataFrame([(k, k + 1.0) for k in range(21)], "k int, d double")).collect()
     v = spark.createDataFrame([(0, 3.0), (1, 1.0), (2, 3.0), (3, 2.0)], "k int, v double")
     assert [r["rang_moyen"] for r in evaluate.average_ranks(v, "v").orderBy("k").collect()] == [3.5, 1.0, 3.5, 2.0]
 

@@ -1,6 +1,5 @@
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,30 +15,46 @@ def rows_of(ex, rt, left, right, lot="f", weights=None):
 T3 = rows_of(0, "r", "ab", "pq") + rows_of(1, "r", "abc", "pq") + rows_of(2, "r", "ad", "pr")
 
 
-def loop_tree(vectors, union=False):
-    """Nodes by plain dictionaries, as an independent check: (children, height) in merge order."""
-    def cos(a, b):
-        dot = sum(v * b.get(k, 0) for k, v in a.items())
-        na, nb = (sum(v * v for v in x.values()) ** 0.5 for x in (a, b))
-        return dot / (na * nb) if na and nb else 0.0
+def cosine(a, b):
+    dot = sum(v * b.get(k, 0) for k, v in a.items())
+    na, nb = (sum(v * v for v in x.values()) ** 0.5 for x in (a, b))
+    return dot / (na * nb) if na and nb else 0.0
 
-    active = {k: (k, v) for k, v in enumerate(vectors)}  # order -> (id, sides)
-    merges, next_ = [], len(vectors)
+
+def summed(x, y, union=False):
+    return [{k: (1 if union else u.get(k, 0) + v.get(k, 0)) for k in {**u, **v}} for u, v in zip(x, y)]
+
+
+def loop_tree(vectors, union=False, over=None, sequential=False):
+    """Nodes by plain dictionaries, as an independent check: {node: (children, height, vectors)}."""
+    nodes = {k: (None, None, v) for k, v in enumerate(vectors)}
+    active = dict(enumerate(nodes))  # order -> node
     while len(active) > 1:
-        best = None
-        for i in sorted(active):
-            for j in sorted(active):
-                if i < j:
-                    link = min(cos(x, y) for x, y in zip(active[i][1], active[j][1]))
-                    if best is None or link > best[0] + 1e-12:
-                        best = (link, i, j)
-        link, i, j = best
-        (a, x), (b, y) = active[i], active.pop(j)
-        both = [{k: (1 if union else u.get(k, 0) + v.get(k, 0)) for k in {**u, **v}} for u, v in zip(x, y)]
-        active[i] = (next_, both)
-        merges.append((a, b, round(link, 9)))
-        next_ += 1
-    return merges
+        links = {(i, j): round(min(cosine(x, y) for x, y in zip(nodes[active[i]][2], nodes[active[j]][2])), 9) for i in active for j in active if i < j}
+        good = {p: v for p, v in links.items() if over is None or v > over}
+        if not good:
+            break
+        i, j = min(good) if sequential else min(good, key=lambda p: (-good[p], p))
+        a, b = active[i], active.pop(j)
+        active[i] = len(nodes)
+        nodes[len(nodes)] = ([a, b], links[i, j], summed(nodes[a][2], nodes[b][2], union))
+    return nodes
+
+
+def score(x, y):
+    return round(sum(cosine(a, b) for a, b in zip(x, y)) / 2, 9)
+
+
+def loop_descent(nodes, root, asked):
+    at, seen, way = root, 1, [root]
+    while nodes[at][0]:
+        seen += 2
+        best = max(nodes[at][0], key=lambda c: (score(nodes[c][2], asked), -nodes[at][0].index(c)))
+        if score(nodes[best][2], asked) <= score(nodes[at][2], asked):
+            break
+        at = best
+        way.append(at)
+    return at, seen, way
 
 
 def test_small_tree(spark):
@@ -48,8 +63,12 @@ def test_small_tree(spark):
     assert nodes[3]["enfants"] == [0, 1] and nodes[3]["hauteur"] == pytest.approx(0.816497, abs=1e-6)
     assert nodes[4]["enfants"] == [3, 2] and nodes[4]["hauteur"] == pytest.approx(0.471405, abs=1e-6)
     assert {k: r["profondeur"] for k, r in nodes.items()} == {4: 0, 3: 1, 2: 1, 0: 2, 1: 2}
+    assert {k: (r["debut"], r["fin"]) for k, r in nodes.items()} == {0: (0, 1), 1: (1, 2), 2: (2, 3), 3: (0, 2), 4: (0, 3)}
     assert {r["liens"] for r in nodes.values()} == {4}
-    union = {r["noeud"]: r for r in clustering.cluster(spark.createDataFrame(T3, SIDES), union=True).collect()}
+    frame = spark.createDataFrame(T3, SIDES)
+    root = clustering.node_symbols(clustering.cluster(frame).filter("parent is null"), clustering.cluster(frame), frame)
+    assert {(r["cote"], r["symbole"]): r["poids"] for r in root.collect()} == {("L", "a"): 3, ("L", "b"): 2, ("L", "c"): 1, ("L", "d"): 1, ("R", "p"): 3, ("R", "q"): 2, ("R", "r"): 1}
+    union = {r["noeud"]: r for r in clustering.cluster(frame, union=True).collect()}
     assert union[4]["hauteur"] == pytest.approx(0.408248, abs=1e-6)
 
 
@@ -61,68 +80,103 @@ def test_links_and_cut(spark):
     for t, roots in ((0.5, {2, 3}), (0.471, {4}), (0.9, {0, 1, 2})):
         assert {r["noeud"] for r in clustering.cut_forest(nodes, t).filter("racine").collect()} == roots
     fused = clustering.cluster(frame, over=0.5).filter("parent is null")
-    assert {tuple(r["feuilles"]) for r in fused.collect()} == {(0, 1), (2,)}
+    assert {(r["debut"], r["fin"]) for r in fused.collect()} == {(0, 2), (2, 3)}
+    asked = spark.createDataFrame(rows_of(10, "r", "ab", "p"), SIDES)
+    best = classify.tree_answers(asked, frame, clustering.cut_forest(nodes, 0.5)).first()
+    assert (best["noeud"], best["calculs"], best["n_racines"], best["n_noeuds"]) == (0, 4, 2, 4) and best["score"] == pytest.approx(0.853553, abs=2e-6)
 
 
 def test_descent_of_two_queries(spark):
     train = spark.createDataFrame(T3, SIDES)
     nodes = clustering.cluster(train)
-    asked = spark.createDataFrame(rows_of(10, "r", "ab", "p") + rows_of(11, "r", "abc", "q"), SIDES)
-    scores = classify.node_scores(asked, train, nodes)
-    got = {(r["ex"], r["noeud"]): r["score"] for r in scores.collect()}
-    want = {(10, 4): 0.857326, (10, 3): 0.824958, (10, 2): 0.603553, (11, 4): 0.714475, (11, 3): 0.834679, (11, 2): 0.204124, (11, 1): 0.853553}
-    assert {k: got[k] for k in want} == pytest.approx(want, abs=2e-6)
-    stops = {r["ex"]: (r["noeud"], r["calculs"], r["feuille"]) for r in classify.descend(scores, nodes).collect()}
-    assert stops == {10: (4, 3, False), 11: (1, 5, True)}
-    assert {r["ex"]: r["noeud"] for r in classify.best_nodes(scores, nodes, "racines").collect()} == {10: 4, 11: 4}
-
-
-def test_random_trees_and_descents_equal_loops(spark):
-    rng = random.Random(9)
-    rows, vectors = [], {}
-    for lot in "xyz":
-        for rt in ("r", "s"):
-            n = rng.randrange(1, 14)
-            vectors[lot, rt] = []
-            for k in range(n):
-                side = [{c: rng.randrange(1, 4) for c in "abcdefgh" if rng.random() < 0.35} for _ in range(2)]
-                side[0].setdefault("a", 1), side[1].setdefault("a", 1)
-                vectors[lot, rt].append(side)
-                ex = len(rows) * 1000 + k
-                rows += [(lot, ex, rt, k, "train", c, s, float(v)) for c, d in zip("LR", side) for s, v in d.items()]
+    asked = spark.createDataFrame(rows_of(10, "r", "ab", "p") + rows_of(11, "r", "abc", "q") + rows_of(12, "s", "zz", "z"), SIDES)
+    got = {r["ex"]: r for r in classify.tree_answers(asked, train, nodes).collect()}
+    assert {k: (r["noeud"], r["calculs"], r["feuille"]) for k, r in got.items()} == {10: (4, 3, False), 11: (1, 5, True), 12: (4, 3, False)}
+    want = {(10, 4): 0.857326, (11, 4): 0.714475, (11, 3): 0.834679, (11, 1): 0.853553, (12, 4): 0.0}
+    assert {(k, n): s for k, r in got.items() for n, s in zip(r["chemin"], r["scores"])} == pytest.approx(want, abs=2e-6)
+    assert {k: r["racine"] for k, r in got.items()} == {10: 4, 11: 4, 12: 4}
+
+
+def drawn(seed, files):
+    rng, rows, vectors = random.Random(seed), [], {}
+    for rt in "rst":
+        n = {"r": 23, "s": 9, "t": 1}[rt]
+        vectors[rt] = []
+        for k in range(n):
+            side = [{c: rng.randrange(1, 4) for c in "abcdefgh" if rng.random() < 0.3} for _ in range(2)]
+            for d in side:
+                if rng.random() < 0.9:
+                    d.setdefault(rng.choice("axyz"), 1)
+            if k and rng.random() < 0.2:
+                side = rng.choice(vectors[rt])
+            vectors[rt].append(side)
+            ex = len(rows) * 1000 + k
+            rows += [(f"f{k * files // n}", ex, rt, k, "train", c, s, float(v)) for c, d in zip("LR", side) for s, v in d.items()]
+        vectors[rt] = [v for v in vectors[rt] if any(v)]
+    return rows, vectors
+
+
+@pytest.mark.parametrize("files,cache", [(1, 1), (4, 20_000_000)])
+def test_trees_span_files_and_equal_loops(spark, monkeypatch, files, cache):
+    monkeypatch.setattr(clustering, "CACHE", cache)
+    rows, vectors = drawn(9 + files, files)
     frame = spark.createDataFrame(rows, SIDES)
-    for union in (False, True):
-        nodes = clustering.cluster(frame, union=union).collect()
-        for key, v in vectors.items():
-            mine = sorted((r for r in nodes if (r["lot"], r["rt"]) == key and r["enfants"]), key=lambda r: r["noeud"])
-            sets = [[dict.fromkeys(s, 1) for s in x] for x in v] if union else v
-            assert [(*r["enfants"], round(r["hauteur"], 9)) for r in mine] == loop_tree(sets, union)
-    tree = clustering.cluster(frame)
-    asked = frame.filter("ordre < 3").withColumn("ex", F.col("ex") + 7_000_000)
-    scores = classify.node_scores(asked, frame, tree).cache()
-    table = {(r["lot"], r["ex"], r["rt"], r["noeud"]): r["score"] for r in scores.collect()}
-    kids = {(r["lot"], r["rt"], r["noeud"]): r["enfants"] for r in tree.collect()}
-    roots = {(r["lot"], r["rt"]): r["noeud"] for r in tree.filter("parent is null").collect()}
-    for r in classify.descend(scores, tree).collect():
-        at, count = roots[r["lot"], r["rt"]], 1
-        s = lambda n: table[r["lot"], r["ex"], r["rt"], n]  # noqa: B023, E731
-        while kids[r["lot"], r["rt"], at]:
-            children = kids[r["lot"], r["rt"], at]
-            count += len(children)
-            best = max(children, key=lambda c: (s(c), -children.index(c)))
-            if s(best) <= s(at):
-                break
-            at = best
-        assert (r["noeud"], r["calculs"]) == (at, count)
-    measures = clustering.measures(tree).collect()
-    assert len(measures) == len(roots) and all(m["noeuds"] == 2 * m["feuilles"] - 1 for m in measures)
+    for how in ({}, {"union": True}, {"over": 0.4}, {"over": 0.3, "sequential": True}, {"over": 0.3, "union": True}):
+        got = clustering.cluster(frame, **how).collect()
+        for rt, v in vectors.items():
+            mine = {r["noeud"]: r for r in got if r["rt"] == rt}
+            sets = [[dict.fromkeys(s, 1) for s in x] for x in v] if how.get("union") else v
+            want = loop_tree(sets, **how)
+            assert {k: (r["enfants"], r["hauteur"]) for k, r in mine.items()} == {k: (n[0], n[1]) for k, n in want.items()}
+            for k, r in mine.items():
+                assert (r["n_l"], r["n_r"]) == tuple(len(s) for s in want[k][2])
+                assert r["norme_l"] == pytest.approx(sum(w * w for w in want[k][2][0].values()) ** 0.5)
+            assert sorted(p for r in mine.values() if not r["enfants"] for p in range(r["debut"], r["fin"])) == list(range(len(v)))
+    measures = clustering.measures(clustering.cluster(frame)).collect()
+    assert len(measures) == 3 and all(m["noeuds"] == 2 * m["feuilles"] - 1 for m in measures)
     assert clustering.cluster(frame.limit(0)).count() == 0
 
 
-def test_cosine_properties():
-    rng = np.random.default_rng(0)
-    m = clustering.Matrix(rng.integers(0, 3, (6, 9)).astype(float), False)
-    c = m.cosines()
-    assert np.allclose(c, c.T) and c.max() <= 1 + 1e-12 and c.min() >= 0
-    m.merge(1, 4)
-    assert np.allclose(m.gram, m.rows @ m.rows.T)
+@pytest.mark.parametrize("block", [5, 2_000])
+def test_answers_equal_loops(spark, monkeypatch, block):
+    """One relation a file, as in the published layout: a question of a file meets the trees of all relations."""
+    monkeypatch.setattr(classify, "BLOCK", block)
+    rows, vectors = drawn(3, 1)
+    frame = spark.createDataFrame(rows, SIDES).withColumn("lot", F.concat(F.lit("corpus_"), "rt"))
+    asked = frame.filter("ordre % 3 = 0").withColumn("ex", F.col("ex") + 7_000_000).withColumn("split", F.lit("test"))
+    asked = asked.filter(F.xxhash64("symbole", "cote", "ex") % 4 != 0)
+    questions = {}
+    for r in asked.collect():
+        questions.setdefault(r["ex"], [{}, {}])["LR".index(r["cote"])][r["symbole"]] = r["poids"]
+    nodes = clustering.cluster(frame)
+    answers = classify.tree_answers(asked, frame, nodes).cache()
+    trees = {rt: loop_tree(v) for rt, v in vectors.items()}
+    got = {(r["ex"], r["rt"]): r for r in answers.collect()}
+    assert set(got) == {(e, rt) for e in questions for rt in trees}
+    for (ex, rt), r in got.items():
+        tree, q = trees[rt], questions[ex]
+        root = len(tree) - 1
+        at, seen, way = loop_descent(tree, root, q)
+        scores = {k: score(n[2], q) for k, n in tree.items()}
+        assert (r["noeud"], r["calculs"], r["chemin"]) == (at, seen, way) and r["scores"] == pytest.approx([scores[k] for k in way], abs=2e-9)
+        best, leaf = (min((k for k in tree if which(k)), key=lambda k: (-scores[k], k)) for which in (lambda k: True, lambda k: not tree[k][0]))  # noqa: B023
+        assert (r["meilleur"], r["voisin"], r["racine"]) == (best, leaf, root)
+        up = {c: k for k, n in tree.items() for c in n[0] or []}
+        above = lambda k: [k] if k not in up else [*above(up[k]), k]  # noqa: B023, E731
+        common = [k for k in above(at) if k in above(best)]
+        assert r["niveau_commun"] == len(common) - 1 and r["dessous"] == (common[-1] == at)
+    top = {r["ex"]: r for r in classify.winners(answers).collect()}
+    for which, column in (("tous", "score_meilleur"), ("feuilles", "score_voisin"), ("racines", "score_racine")):
+        for r in classify.best_everywhere(answers, which).collect():
+            assert r["score"] == max(got[r["ex"], rt][column] for rt in trees)
+    wrong = 0
+    own = {ex: "rst"[0] for ex in questions} | {r["ex"]: r["rt"] for r in asked.select("ex", "rt").distinct().collect()}
+    for ex in questions:
+        order = sorted(trees, key=lambda rt: (-got[ex, rt]["score"], rt))  # noqa: B023
+        assert (top[ex]["predit"], top[ex]["second"]) == tuple(order[:2])
+        wrong += top[ex]["predit"] != own[ex]
+    assert wrong > 0
+    assert sum(r["n"] for r in classify.best_node_oracle(answers).groupBy("verdict").agg(F.count("*").alias("n")).collect()) == len(got)
+    steps = sum(len(r["chemin"]) - 1 for r in got.values())
+    assert sum(r["lourd"] + r["leger"] + r["egal"] for r in classify.branch_directions(answers, nodes).collect()) == steps
+    assert classify.tree_answers(asked.limit(0), frame, nodes).count() == 0 and classify.tree_answers(asked, frame.limit(0), nodes.limit(0)).count() == 0

@@ -1,56 +1,183 @@
-"""Classification over node scores (lot, ex, rt, noeud, score): descent, exhaustive search, roots, neighbours.
+"""Classification of examples by the cluster trees of all relations: descent, exhaustive search, roots, neighbours.
 
-Every node's score comes from one join of examples with leaves, rolled up through the closure of the tree.
-The descent needs no loop: a child is taken if it is its node's best child (the first of equals) and better than
-the node; a node is reached if that holds for all nodes on its way."""
+A block of questions meets a whole tree in one task. Products with the leaves come from the symbols both have; with the
+leaves in the order of the tree a node's product is a difference of running sums, so that the scores of all nodes
+cost little more than those of the leaves. Each task gives one row a question and tree; no score of a node is shuffled."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treillis.model import TIGHT
 from treillis.operators import pairs
-from treillis.operators.clustering import TREE, closure
-from treillis.operators.similarity import cosine, side_norms
-
-
-def leaf_products(queries: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Dot products (lot, ex, cote, rt, feuille, produit) of query sides with the training sides of their lot."""
-    a = queries.select("lot", "ex", "cote", "symbole", F.col("poids").alias("p"))
-    b = leaves.select("lot", "rt", F.col("ex").alias("feuille"), "cote", "symbole", F.col("poids").alias("q"))
-    return a.join(b, ["lot", "cote", "symbole"]).groupBy("lot", "ex", "cote", "rt", "feuille").agg(F.sum(F.col("p") * F.col("q")).alias("produit"))
-
-
-def node_scores(queries: DataFrame, leaves: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The score of every node of the lot's trees for every query: the mean of the cosines of both sides.
-
-    Scores have nine decimals, so that equal ones stay equal in whatever order their parts were summed."""
-    members = nodes.select("lot", "rt", "noeud", F.explode("feuilles").alias("feuille"))
-    rolled = leaf_products(queries, leaves).join(members, ["lot", "rt", "feuille"]).groupBy("lot", "ex", "rt", "noeud", "cote").agg(F.sum("produit").alias("produit"))
-    norms = nodes.select("lot", "rt", "noeud", F.explode(F.create_map(F.lit("L"), "norme_l", F.lit("R"), "norme_r")).alias("cote", "nn"))
-    sims = rolled.join(norms, ["lot", "rt", "noeud", "cote"]).join(side_norms(queries), ["lot", "ex", "cote"])
-    summed = sims.groupBy("lot", "ex", "rt", "noeud").agg((0.5 * F.sum(cosine(F.col("produit"), F.col("nn"), F.col("norme")))).alias("score"))
-    asked = queries.select("lot", "ex").distinct().join(nodes.select("lot", "rt", "noeud"), "lot")
-    return asked.join(summed, ["lot", "ex", "rt", "noeud"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
-
-
-def descend(scores: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The stop of each example in each tree: (lot, ex, rt, noeud, score, profondeur, calculs).
-
-    ``nodes`` needs lot, rt, noeud, parent, enfants, profondeur and ancetres. Evaluations are the root and the
-    children of every inner node reached."""
-    up = nodes.select("lot", "rt", "noeud", "parent", "profondeur", F.size(F.coalesce("enfants", F.array().cast("array<int>"))).alias("n_enfants"))
-    rank = nodes.filter("enfants is not null").select("lot", "rt", F.posexplode("enfants").alias("rang", "noeud"))
-    placed = scores.join(up, ["lot", "rt", "noeud"]).join(rank, ["lot", "rt", "noeud"], "left")
-    best = placed.filter("parent is not null").groupBy("lot", "ex", "rt", "parent").agg(F.max_by("noeud", F.struct("score", -F.col("rang"))).alias("_m"), F.max("score").alias("_s"))
-    own = scores.select("lot", "ex", "rt", F.col("noeud").alias("parent"), F.col("score").alias("_ps"))
-    taken = best.join(own, ["lot", "ex", "rt", "parent"]).filter("_s > _ps").select("lot", "ex", "rt", F.col("_m").alias("ancetre"), F.lit(True).alias("_ok"))
-    ways = closure(nodes).join(nodes.filter("parent is null").select("lot", "rt", F.col("noeud").alias("_racine")), TREE)
-    steps = scores.select("lot", "ex", "rt", "noeud").join(ways, ["lot", "rt", "noeud"]).join(taken, ["lot", "ex", "rt", "ancetre"], "left")
-    reached = steps.groupBy("lot", "ex", "rt", "noeud").agg(F.every(F.coalesce("_ok", F.lit(False)) | (F.col("ancetre") == F.col("_racine"))).alias("_r")).filter("_r")
-    full = reached.join(placed, ["lot", "ex", "rt", "noeud"])
-    stop = full.groupBy("lot", "ex", "rt").agg(F.max_by(F.struct("noeud", "score", "profondeur", "n_enfants"), "profondeur").alias("x"), (1 + F.sum("n_enfants")).cast("int").alias("calculs"))
-    return stop.select("lot", "ex", "rt", "x.noeud", "x.score", "x.profondeur", (F.col("x.n_enfants") == 0).alias("feuille"), "calculs")
+from treillis.operators.clustering import _arrow
+from treillis.session import bound_arrow_batches, cut
+
+#: Questions of a block, and scores worked out at once.
+BLOCK, AT_ONCE = 2_000, 1_500_000
+#: The answer of a tree: where the descent stops, the best of all nodes, of leaves and of roots, the depth of the last node
+#: above both the stop and the best one, and the way to the stop from its root.
+ANSWERS = (
+    "ex bigint, noeud int, score double, profondeur int, poids int, feuille boolean, calculs int, meilleur int, score_meilleur double, voisin int, score_voisin double, "
+    "racine int, score_racine double, niveau_commun int, dessous boolean, n_noeuds int, n_feuilles int, n_racines int, chemin array<int>, scores array<double>"
+)
+
+
+class Tree:
+    """A tree (or forest) as arrays; nodes are numbered by their place in ``ids``."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by("noeud")
+        get = lambda c: rows[c].to_numpy()
+        self.ids, self.weight, self.depth = get("noeud").astype(np.int64), get("poids"), get("profondeur")
+        n = len(self.ids)
+        self.norms = {"L": get("norme_l"), "R": get("norme_r")}
+        kids, up = rows["enfants"].to_pylist(), rows["parent"].to_pylist()
+        place = {k: p for p, k in enumerate(self.ids.tolist())}
+        self.first, self.second = (np.array([-1 if k is None else place[k[c]] for k in kids], dtype=np.int64) for c in (0, 1))
+        self.parent = np.array([-1 if k is None else place.get(k, -1) for k in up], dtype=np.int64)
+        self.roots, self.leaves = np.flatnonzero(self.parent < 0), np.flatnonzero(self.first < 0)
+        # The forest may be cut: places are those of its own leaves.
+        start, end = get("debut").astype(np.int64), get("fin").astype(np.int64)
+        kept = np.sort(start[self.leaves])
+        self.start, self.end = np.searchsorted(kept, start), np.searchsorted(kept, end)
+        self.n = n
+        at = self.leaves[np.argsort(start[self.leaves])]
+        self.block = pairs.Block(pa.table({c: rows[c] for c in pairs.PARTS}).take(pa.array(at)).to_struct_array().combine_chunks())
+
+    def scores(self, asked: pairs.Block) -> Iterator[tuple[int, int, np.ndarray]]:
+        """By strip of questions: its bounds and the scores of all nodes (nine decimals)."""
+        for low, high, _, dots in pairs.strips(asked, self.block, max(1, min(100, AT_ONCE // self.n))):
+            total = np.zeros((high - low, self.n))
+            for c in pairs.SIDES:
+                sums = np.zeros((high - low, self.block.n + 1))
+                np.cumsum(dots[c].reshape(high - low, -1), axis=1, out=sums[:, 1:])
+                scale = np.outer(asked.norms[c][low:high], self.norms[c])
+                total += 0.5 * np.divide(sums[:, self.end] - sums[:, self.start], scale, out=np.zeros_like(total), where=scale > 0)
+            yield low, high, np.round(total, 9)
+
+    def stops(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best stop of each question over all roots (the first of equals), and the scores that were looked at."""
+        h, r = len(scores), len(self.roots)
+        who, at = np.repeat(np.arange(h), r), np.tile(self.roots, h)
+        seen = np.ones(h * r, dtype=np.int64)
+        live = np.arange(h * r)
+        while len(live):
+            live = live[self.first[at[live]] >= 0]
+            a, b = self.first[at[live]], self.second[at[live]]
+            x, y = scores[who[live], a], scores[who[live], b]
+            seen[live] += 2
+            down = np.maximum(x, y) > scores[who[live], at[live]]
+            live, best = live[down], np.where(y > x, b, a)[down]
+            at[live] = best
+        value, at = scores[who, at].reshape(h, r), at.reshape(h, r)
+        top = np.where(value == value.max(axis=1, keepdims=True), at, self.n)
+        return top.min(axis=1), seen.reshape(h, r).sum(axis=1)
+
+    def common_depth(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The depth of the last node above (or equal to) both; -1 if they are of different trees."""
+        a, b = a.copy(), b.copy()
+        while len(live := np.flatnonzero((a != b) & (a >= 0) & (b >= 0))):
+            x, y = a[live], b[live]
+            low = self.depth[x] >= self.depth[y]
+            a[live], b[live] = np.where(low, self.parent[x], x), np.where(low, y, self.parent[y])
+        return np.where(a == b, self.depth[a], -1)
+
+    def ways(self, stops: np.ndarray) -> list[list[int]]:
+        """The nodes from the root to each stop."""
+        out = []
+        for k in stops.tolist():
+            way = [k]
+            while (k := int(self.parent[k])) >= 0:
+                way.append(k)
+            out.append(way[::-1])
+        return out
+
+
+def _best(scores: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of the best of the given nodes, and its score."""
+    part = scores[:, among]
+    k = part.argmax(axis=1)
+    return among[k], part[np.arange(len(part)), k]
+
+
+def _answer(asked: pa.Table, rows: pa.Table) -> pa.Table:
+    tree, block = Tree(rows), pairs.Block(asked.select(list(pairs.PARTS)).to_struct_array().combine_chunks())
+    every, out = np.arange(tree.n), []
+    ex = asked["ex"].to_numpy()
+    for low, high, scores in tree.scores(block):
+        stop, seen = tree.stops(scores)
+        best, top = _best(scores, every)
+        leaf, near = _best(scores, tree.leaves)
+        root, high_root = _best(scores, tree.roots)
+        h, ways = high - low, tree.ways(stop)
+        ids = lambda x: pa.array(tree.ids[x], pa.int32())
+        whole = lambda x: pa.array(np.broadcast_to(x, h), pa.int32())
+        below = (tree.start[stop] <= tree.start[best]) & (tree.end[best] <= tree.end[stop])
+        out.append(pa.table({
+            "ex": ex[low:high], "noeud": ids(stop), "score": scores[np.arange(h), stop], "profondeur": whole(tree.depth[stop]), "poids": whole(tree.weight[stop]), "feuille": tree.first[stop] < 0, "calculs": whole(seen),
+            "meilleur": ids(best), "score_meilleur": top, "voisin": ids(leaf), "score_voisin": near, "racine": ids(root), "score_racine": high_root, "niveau_commun": whole(tree.common_depth(stop, best)), "dessous": below,
+            "n_noeuds": whole(tree.n), "n_feuilles": whole(len(tree.leaves)), "n_racines": whole(len(tree.roots)),
+            "chemin": pa.array([tree.ids[w].tolist() for w in ways], pa.list_(pa.int32())), "scores": pa.array([scores[k, w].tolist() for k, w in enumerate(ways)], pa.list_(pa.float64())),
+        }, schema=pa.schema(_arrow(ANSWERS))))
+    return pa.concat_tables(out) if out else pa.schema(_arrow(ANSWERS)).empty_table()
+
+
+def tree_answers(questions: DataFrame, leaves: DataFrame, nodes: DataFrame, by: tuple[str, ...] = ("rt",)) -> DataFrame:
+    """The answer (``by`` and ANSWERS) of every tree to every question.
+
+    ``by`` ends with the relation; the keys before it (a configuration, a fold) are those of the questions too. A question
+    that shares nothing with a tree scores 0 there and stops at its root; no trees or no questions give no rows."""
+    bound_arrow_batches(questions.sparkSession)
+    own = list(by[:-1])
+    codes = pairs.coded(questions, leaves)
+    asked = pairs.packed(questions, codes, [*own, "ex"])
+    most = questions.select(*own, "ex").distinct().groupBy(*own).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = max(1, -(-most // BLOCK))
+    asked = asked.withColumn("_bloc", F.pmod(F.xxhash64("ex"), F.lit(blocks)).cast("int"))
+    keys = [*by, "_bloc"]
+    left = asked.join(F.broadcast(nodes.select(*by).distinct()), own) if own else asked.crossJoin(F.broadcast(nodes.select(*by).distinct()))  # a row a tree
+    vectors = pairs.packed(leaves, codes, [*by, "ex"])
+    columns = ["noeud", "poids", "profondeur", "enfants", "parent", "debut", "fin", "norme_l", "norme_r"]
+    right = nodes.select(*by, "ex", *columns).join(vectors, [*by, "ex"], "left").withColumn("_bloc", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = right.select(*[F.col(c).alias(f"{c}_t") for c in keys], *columns, *pairs.PARTS)
+
+    def run(key: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
+        got = _answer(one, two) if len(one) and len(two) else pa.schema(_arrow(ANSWERS)).empty_table()
+        for k, c in enumerate(by):
+            got = got.add_column(k, c, pa.array([key[k].as_py()] * len(got), pa.string()))
+        return got
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*[f"{c}_t" for c in keys])).applyInArrow(run, ", ".join(f"{c} string" for c in by) + ", " + ANSWERS)
+
+
+def stops(answers: DataFrame) -> DataFrame:
+    """Where the descent of each question stopped in each tree, with the depth and the evaluations."""
+    return answers.drop("meilleur", "score_meilleur", "voisin", "score_voisin", "racine", "score_racine", "niveau_commun", "dessous", "n_noeuds", "n_feuilles", "n_racines")
+
+
+def best_everywhere(answers: DataFrame, which: str = "tous") -> DataFrame:
+    """(ex, rt, noeud, score, calculs): the best node of all trees among all nodes, roots or leaves (first rt, then node of equals)."""
+    node, score, n = {"tous": ("meilleur", "score_meilleur", "n_noeuds"), "racines": ("racine", "score_racine", "n_racines"), "feuilles": ("voisin", "score_voisin", "n_feuilles")}[which]
+    top = answers.groupBy("ex").agg(F.min_by(F.struct("rt", F.col(node).alias("noeud"), F.col(score).alias("score")), F.struct(-F.col(score), "rt", node)).alias("x"), F.sum(n).alias("calculs"))
+    return top.select("ex", "x.*", "calculs")
+
+
+def winners(answers: DataFrame) -> DataFrame:
+    """The best answer of each question by descent in every tree (first rt, then node of equals), the second answer, the
+    relative gap, and the evaluations over all trees."""
+    order = F.struct(-F.col("score"), "rt", "noeud")
+    both = answers.groupBy("ex").agg(
+        F.min_by(F.struct("rt", *[c for c in stops(answers).columns if c not in ("ex", "rt", "calculs")]), order).alias("x"),
+        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("m"), "rt"))).alias("_r"), F.sum("calculs").alias("calculs"),
+    )
+    out = both.select("ex", F.col("x.rt").alias("predit"), *[f"x.{c}" for c in ("noeud", "score", "profondeur", "poids", "feuille", "chemin", "scores")], F.get("_r", F.lit(1)).alias("_s"), "calculs")
+    out = out.withColumn("second", F.col("_s.rt")).withColumn("score_second", -F.col("_s.m")).drop("_s")
+    return out.withColumn("ecart", gap(F.col("score"), F.col("score_second"))).withColumn("serre", F.col("ecart") < TIGHT)
 
 
 def ranked(answers: DataFrame, *ties: str) -> DataFrame:
@@ -59,24 +186,6 @@ def ranked(answers: DataFrame, *ties: str) -> DataFrame:
     return answers.withColumn("rang", F.row_number().over(w))
 
 
-def best_nodes(scores: DataFrame, nodes: DataFrame, which: str = "tous") -> DataFrame:
-    """The best node of each example among all nodes, roots or leaves (smallest type, then id, of equals); ``calculs`` counts them."""
-    keep = {"tous": F.lit(True), "racines": F.col("parent").isNull(), "feuilles": F.col("enfants").isNull()}[which]
-    among = scores.join(nodes.filter(keep).select("lot", "rt", "noeud"), ["lot", "rt", "noeud"])
-    w = Window.partitionBy("lot", "ex")
-    order = w.orderBy(F.desc("score"), "rt", "noeud")
-    return among.withColumn("calculs", F.count("*").over(w)).withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
-
-
-def best_everywhere(questions: DataFrame, leaves: DataFrame, nodes: DataFrame, which: str = "tous") -> DataFrame:
-    """best_nodes() over the trees of all files, not only the question's own: (ex, lot, rt, noeud, score, calculs), the lot being the tree's."""
-    keep = {"tous": F.lit(True), "racines": F.col("parent").isNull(), "feuilles": F.col("enfants").isNull()}[which]
-    among = nodes.filter(keep)
-    members = among.select("lot", "rt", "noeud", F.explode("feuilles").alias("ex"))
-    vectors = members.join(leaves, ["lot", "rt", "ex"]).groupBy("lot", "rt", "noeud", "cote", "symbole").agg(F.sum("poids").alias("poids"))
-    return pairs.best(questions, vectors).crossJoin(among.agg(F.count("*").alias("calculs")))  # one row
-
-
 def gap(first: Column, second: Column) -> Column:
     """Relative gap of the two best scores; 1 without a second or with a best score of 0."""
     return F.when(second.isNull() | (first == 0), 1.0).otherwise((first - second) / F.nullif(first, F.lit(0.0)))
@@ -103,21 +212,17 @@ def decisive_symbols(queries: DataFrame, centers: DataFrame, winners: DataFrame,
     return shared.withColumn("rang", F.row_number().over(w)).filter(F.col("rang") <= k)
 
 
-def best_node_oracle(stops: DataFrame, scores: DataFrame, nodes: DataFrame) -> DataFrame:
+def best_node_oracle(answers: DataFrame) -> DataFrame:
     """The stop against the best node of the same tree: optimal, premature (the best is below) or wrong branch; depth of their last common node."""
-    w = Window.partitionBy("lot", "ex", "rt").orderBy(F.desc("score"), "noeud")
-    best = scores.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("lot", "ex", "rt", F.col("noeud").alias("meilleur"), F.col("score").alias("score_meilleur"))
-    ways = nodes.select("lot", "rt", "noeud", "ancetres")
-    both = stops.join(best, ["lot", "ex", "rt"]).join(ways, ["lot", "rt", "noeud"]).join(ways.toDF("lot", "rt", "meilleur", "_w"), ["lot", "rt", "meilleur"])
-    common = F.size(F.array_intersect("ancetres", "_w")) - 1
-    kind = F.when(F.col("score") >= F.col("score_meilleur"), "optimal").when(F.array_contains("_w", F.col("noeud")), "premature").otherwise("branche")
-    return both.select("lot", "ex", "rt", "noeud", "meilleur", "score", "score_meilleur", common.alias("niveau_commun"), kind.alias("verdict"))
+    kind = F.when(F.col("score") >= F.col("score_meilleur"), "optimal").when(F.col("dessous"), "premature").otherwise("branche")
+    return answers.select("ex", "rt", "noeud", "meilleur", "score", "score_meilleur", "niveau_commun", kind.alias("verdict"))
 
 
-def branch_directions(stops: DataFrame, nodes: DataFrame) -> DataFrame:
+def branch_directions(answers: DataFrame, nodes: DataFrame) -> DataFrame:
     """How often the way down takes the heavy or the light child, by level."""
-    ways = stops.select("lot", "ex", "rt", "noeud").join(nodes.select("lot", "rt", "noeud", "ancetres"), ["lot", "rt", "noeud"]).select("lot", "ex", "rt", F.explode("ancetres").alias("noeud"))
-    weights = nodes.select("lot", "rt", "noeud", "parent", "profondeur", "poids")
-    sibling = weights.select("lot", "rt", "parent", F.col("noeud").alias("_s"), F.col("poids").alias("_sp"))
-    both = ways.join(weights, ["lot", "rt", "noeud"]).join(sibling, ["lot", "rt", "parent"]).filter("_s <> noeud")
-    return both.groupBy("profondeur").agg(F.count_if(F.col("poids") > F.col("_sp")).alias("lourd"), F.count_if(F.col("poids") < F.col("_sp")).alias("leger"), F.count_if(F.col("poids") == F.col("_sp")).alias("egal"))
+    ways = answers.select("rt", F.explode("chemin").alias("noeud")).groupBy("rt", "noeud").agg(F.count("*").alias("_n"))
+    weights = nodes.select("rt", "noeud", "parent", "profondeur", "poids")
+    sibling = weights.select("rt", "parent", F.col("noeud").alias("_s"), F.col("poids").alias("_sp"))
+    both = ways.join(weights, ["rt", "noeud"]).join(sibling, ["rt", "parent"]).filter("_s <> noeud")
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0)).cast("long")
+    return both.groupBy("profondeur").agg(of(F.col("poids") > F.col("_sp")).alias("lourd"), of(F.col("poids") < F.col("_sp")).alias("leger"), of(F.col("poids") == F.col("_sp")).alias("egal"))

@@ -1,15 +1,17 @@
-"""Cluster trees: agglomerative clustering of the training examples of each lot and relation.
+"""Cluster trees: agglomerative clustering of the training examples of each relation, over all files.
 
-The merge order depends on the data, so each tree is grown in a grouped map over the sides of at most a lot's
-examples. With summed vectors (somme) dot products add up under a merge, so that only two Gram matrices
-are kept; with united sets (union) the sets are rows of bits. The links of a merged node are worked out
-anew, all others stay.
+The pair with the greatest link merges first, over the whole relation, and links may rise as nodes grow, so that
+the merges of a relation are one sequence, run in a grouped map. Its memory grows with the entries of the vectors,
+not with the pairs: products with a node come from inverted lists of the leaves' entries, which are handed on to
+the merged node, and each node keeps its best later partner, worked out anew only when it may be the best of all.
 
-A tree has its leaves first, in corpus order, then its merges in order. Of equal links the pair with the
-older first node, then the older second node merges; the older node is the first child."""
-from __future__ import annotations
+A tree has its leaves first, in corpus order, then its merges in order. Of equal links (nine decimals) the pair with
+the older first node, then the older second node merges; the older node is the first child. Leaves are placed so
+that each node covers the places [debut, fin).
 
-from collections.abc import Callable
+Defined cases: an example without symbols has links of 0 and merges last; equal examples merge first; a relation of one
+example is a leaf that is a root; no rows give no nodes."""
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
@@ -17,165 +19,294 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treillis.model import ISOLATE
+from treillis.operators import pairs
+from treillis.session import bound_arrow_batches
 
 NODES = (
-    "lot string, rt string, noeud int, poids int, hauteur double, enfants array<int>, parent int, profondeur int, ordre int, "
-    "feuilles array<bigint>, ancetres array<int>, norme_l double, norme_r double, n_l int, n_r int, liens int"
+    "noeud int, poids int, hauteur double, enfants array<int>, parent int, profondeur int, ordre int, ex bigint, debut int, fin int, "
+    "norme_l double, norme_r double, n_l int, n_r int, voie boolean, liens bigint"
 )
-TREE = ["lot", "rt"]
-
+TREE = ["rt"]
+#: Products of nodes kept for reuse, by side.
+CACHE = 20_000_000
+
+
+class Side:
+    """The vectors of a tree's nodes on one side: entries by symbol, with the node that holds each."""
+
+    def __init__(self, row: np.ndarray, code: np.ndarray, weight: np.ndarray, squares: np.ndarray, sizes: np.ndarray, union: bool):
+        """Entries (row, code, weight), by row, of shared symbols; all entries' squares and numbers by row."""
+        n, self.union = len(squares), union
+        symbols, at = np.unique(code, return_inverse=True)
+        weight = np.ones(len(weight)) if union else weight.astype(np.float64)
+        order = np.argsort(at, kind="stable")
+        self.owner, self.symbol, self.weight = row[order], at[order], weight[order]
+        self.count = np.bincount(at, minlength=len(symbols))
+        self.first = np.cumsum(self.count) - self.count
+        self.n = n
+        mine = np.bincount(row, minlength=n)
+        split = np.cumsum(mine)[:-1]
+        self.places = np.split(np.argsort(self.owner, kind="stable"), split)
+        self.vectors = list(zip(np.split(at, split), np.split(weight, split)))
+        shared = np.bincount(row, weight * weight, n)
+        self.single = sizes - mine  # symbols no other row has
+        self.rest = self.single.astype(np.float64) if union else squares - shared
+        self.square = shared + self.rest
+        # Products of some nodes, the latest ones; the oldest gives way.
+        self.kept = np.zeros((max(2, min(n, CACHE // max(1, n))), n))
+        self.held = np.full(len(self.kept), -1, dtype=np.int64)
+        self.slot, self.next = {}, 0
+
+    def products(self, i: int) -> np.ndarray:
+        """Products of node i with every node (with itself too)."""
+        if i in self.slot:
+            return self.kept[self.slot[i]]
+        symbols, weight = self.vectors[i]
+        size = self.count[symbols]
+        total = int(size.sum())
+        if 2 * total > len(self.owner):
+            each = np.zeros(len(self.count))
+            each[symbols] = weight
+            found = np.bincount(self.owner, each[self.symbol] * self.weight, self.n)
+        else:
+            at = np.arange(total) + np.repeat(self.first[symbols] - np.cumsum(size) + size, size)
+            found = np.bincount(self.owner[at], np.repeat(weight, size) * self.weight[at], self.n)
+        found[i] += self.rest[i]
+        return self._keep(i, found)
+
+    def _keep(self, i: int, row: np.ndarray) -> np.ndarray:
+        if i not in self.slot:
+            self.slot.pop(int(self.held[self.next]), None)
+            self.slot[i], self.held[self.next] = self.next, i
+            self.next = (self.next + 1) % len(self.kept)
+        self.kept[self.slot[i]] = row
+        return row
 
-class Matrix:
-    """The vectors of a tree's nodes on one side, and their cosines."""
+    def merge(self, i: int, j: int) -> None:
+        """Node j goes into node i."""
+        (a, x), (b, y) = self.vectors[i], self.vectors[j]
+        both, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        given = self.places[j]
+        if self.union:  # of a symbol both hold, one entry stays
+            new = None
+            lost = np.isin(self.symbol[given], a)
+            self.weight[given[lost]] = 0.0
+            given = given[~lost]
+        else:
+            new = self.products(i).copy()  # the other's row may take its place
+            new += self.products(j)
+            new[i] += new[j]
+            new[j] = 0.0
+        self.owner[given] = i
+        self.vectors[i] = both, np.ones(len(both)) if self.union else np.bincount(at, np.concatenate((x, y)), len(both))
+        self.vectors[j] = b[:0], y[:0]
+        self.places[i], self.places[j] = np.concatenate((self.places[i], given)), given[:0]
+        self.rest[i] += self.rest[j]
+        self.single[i] += self.single[j]
+        if (slot := self.slot.pop(j, None)) is not None:
+            self.held[slot] = -1
+        if new is None:
+            if (slot := self.slot.pop(i, None)) is not None:
+                self.held[slot] = -1
+            new = self.products(i)
+        self._keep(i, new)
+        known = np.flatnonzero(self.held >= 0)
+        self.kept[known, i] = new[self.held[known]]
+        self.kept[known, j] = 0.0
+        self.square[i] = new[i]
 
-    def __init__(self, rows: np.ndarray, union: bool):
-        self.union = union
-        self.rows = (rows > 0).astype(np.float64) if union else rows
-        self.gram = self.rows @ self.rows.T
+    def size(self, i: int) -> int:
+        return len(self.vectors[i][0]) + int(self.single[i])
+
+
+class Links:
+    """The links of a growing tree: for each node its best later partner, or a bound for it."""
+
+    def __init__(self, sides: tuple[Side, Side]):
+        self.sides, self.n = sides, sides[0].n
+        self.alive = np.ones(self.n, dtype=bool)
+        self.best, self.partner, self.stale = np.full(self.n, -1.0), np.zeros(self.n, np.int64), np.zeros(self.n, dtype=bool)
+        for i in range(self.n - 1):
+            self.refresh(i)
+
+    def row(self, i: int) -> np.ndarray:
+        """Links of node i with all nodes: the lesser cosine of both sides; -1 for itself and merged nodes."""
+        out = None
+        for s in self.sides:
+            dots = s.products(i)
+            scale = np.sqrt(s.square[i] * s.square)
+            sim = np.divide(dots, scale, out=np.zeros(self.n), where=scale > 0)
+            out = sim if out is None else np.minimum(out, sim)
+        out = np.round(out, 9)
+        out[~self.alive] = -1.0
+        out[i] = -1.0
+        return out
+
+    def refresh(self, i: int, row: np.ndarray | None = None) -> np.ndarray:
+        later = (self.row(i) if row is None else row)[i + 1 :]
+        if len(later):
+            k = int(later.argmax())
+            self.best[i], self.partner[i] = later[k], i + 1 + k
+        else:
+            self.best[i] = -1.0
+        self.stale[i] = False
+        return later
+
+    def greedy(self, over: float | None) -> tuple[int, int, float] | None:
+        """The pair with the greatest link, the first of equals; none if it isn't over the threshold."""
+        while True:
+            i = int(self.best.argmax())
+            if self.best[i] < 0 or (over is not None and not self.best[i] > over):
+                return None
+            if not self.stale[i]:
+                return i, int(self.partner[i]), float(self.best[i])
+            self.refresh(i)
+
+    def sequential(self, over: float) -> tuple[int, int, float] | None:
+        """The first pair in reading order whose link is over the threshold."""
+        for i in np.flatnonzero(self.best > over):
+            hits = np.flatnonzero((later := self.refresh(i)) > over)
+            if len(hits):
+                return int(i), int(i + 1 + hits[0]), float(later[hits[0]])
+        return None
 
     def merge(self, i: int, j: int) -> None:
-        """Node j goes into node i; the arrays lose row j."""
-        row = np.maximum(self.rows[i], self.rows[j]) if self.union else self.rows[i] + self.rows[j]
-        self.rows = np.delete(self.rows, j, axis=0)
-        self.rows[i] = row
-        self.gram = np.delete(np.delete(self.gram, j, axis=0), j, axis=1)
-        self.gram[i] = self.gram[:, i] = self.rows @ row
-
-    def cosines(self, i: int | None = None) -> np.ndarray:
-        """Cosines of all pairs, or of node i with all nodes."""
-        norm = np.sqrt(np.diag(self.gram))
-        part, of = (self.gram, norm[:, None]) if i is None else (self.gram[i], norm[i])
-        scale = of * norm
-        return np.divide(part, scale, out=np.zeros_like(part), where=scale > 0)
-
-    def norm(self, i: int) -> float:
-        return float(np.sqrt(self.gram[i, i]))
+        for s in self.sides:
+            s.merge(i, j)
+        self.alive[j] = False
+        self.best[j] = -1.0
+        row = self.row(i)
+        self.refresh(i, row)
+        best, partner, stale, v = self.best[:j], self.partner[:j], self.stale[:j], row[:j]
+        lost = self.alive[:j] & ((partner == i) | (partner == j)) & (np.arange(j) != i)
+        before = self.alive[:j] & (np.arange(j) < i)
+        rises = before & (v > best)  # over the bound of all others
+        level = before & (v == best) & ~stale & (i <= partner)
+        best[rises] = v[rises]
+        partner[rises | level] = i
+        stale[rises] = False
+        stale |= lost & ~rises & ~level
+
+
+def grow(sides: tuple[Side, Side], ex: np.ndarray, over: float | None = None, sequential: bool = False) -> dict[str, list]:
+    """The nodes of one tree (or of a forest, if a threshold ends the merges early), as columns of NODES."""
+    n = len(ex)
+    node = {c.split()[0]: [None] * n for c in NODES.split(", ")}
+    norm = lambda s, i: float(np.sqrt(s.square[i]))
+    node.update(noeud=list(range(n)), poids=[1] * n, ordre=list(range(n)), ex=[int(e) for e in ex])
+    for s, c in zip(sides, "lr"):
+        node[f"norme_{c}"], node[f"n_{c}"] = [norm(s, i) for i in range(n)], [s.size(i) for i in range(n)]
+    links, at, left = Links(sides), list(range(n)), n
+    computed = n * (n - 1) // 2
+    while left > 1 and (found := links.sequential(over) if sequential else links.greedy(over)) is not None:
+        i, j, height = found
+        links.merge(i, j)
+        left -= 1
+        computed += left - 1
+        kids, new = [at[i], at[j]], len(node["noeud"])
+        for c, v in {"noeud": new, "poids": sum(node["poids"][k] for k in kids), "hauteur": height, "enfants": kids, "ordre": i, "norme_l": norm(sides[0], i), "norme_r": norm(sides[1], i), "n_l": sides[0].size(i), "n_r": sides[1].size(i)}.items():
+            node[c].append(v)
+        for c in ("parent", "ex", "profondeur", "debut", "fin", "voie"):
+            node[c].append(None)
+        for k in kids:
+            node["parent"][k] = new
+        at[i] = new
+    node["liens"] = [computed] * len(node["noeud"])
+    place = 0
+    for k in reversed(node["noeud"]):  # parents come after their children
+        up = node["parent"][k]
+        if up is None:
+            node["profondeur"][k], node["debut"][k], node["voie"][k] = 0, place, True
+            place += node["poids"][k]
+        else:
+            first, second = node["enfants"][up]
+            other = second if k == first else first
+            node["profondeur"][k] = node["profondeur"][up] + 1
+            node["debut"][k] = node["debut"][up] + (0 if k == first else node["poids"][first])
+            heavy = node["poids"][k] > node["poids"][other] or (node["poids"][k] == node["poids"][other] and k == second)
+            node["voie"][k] = node["voie"][up] and heavy and node["poids"][other] <= ISOLATE
+        node["fin"][k] = node["debut"][k] + node["poids"][k]
+    return node
+
+
+def _listed(part: pa.Table, name: str) -> np.ndarray:
+    return part[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def cluster(side_rows: DataFrame, union: bool = False, over: float | None = None, sequential: bool = False, by: tuple[str, ...] = ("rt",)) -> DataFrame:
+    """The trees (``by`` and NODES) of every relation; with a threshold, the forests of threshold fusion.
+
+    ``by`` may hold more keys, such as a configuration and a fold. Corpus order is by lot, line and id."""
+    bound_arrow_batches(side_rows.sparkSession)
+    schema = pa.schema([*((c, pa.string()) for c in by), *_arrow(NODES)])
 
-    def size(self, i: int) -> int:
-        return int((self.rows[i] > 0).sum())
+    def tree(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by([("lot", "ascending"), ("ordre", "ascending"), ("ex", "ascending")])
+        sides = []
+        for c in pairs.SIDES:
+            row = np.repeat(np.arange(len(part)), part[f"s{c}"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False))
+            sides.append(Side(row, _listed(part, f"s{c}"), _listed(part, f"p{c}"), part[f"c{c}"].to_numpy(), part[f"n{c}"].to_numpy(), union))
+        nodes = grow(tuple(sides), part["ex"].to_numpy(), over, sequential)
+        named = {c: [k.as_py()] * len(nodes["noeud"]) for c, k in zip(by, key)}
+        return pa.table({**named, **nodes}, schema=schema)
 
+    keys = ", ".join(f"{c} string" for c in by)
+    packed = pairs.packed(side_rows, pairs.coded(side_rows), [*by, "lot", "ordre", "ex"], sizes=True)
+    texts = packed.select(*[F.col(c).cast("string").alias(c) for c in by], *[c for c in packed.columns if c not in by])
+    return texts.groupBy(*by).applyInArrow(tree, f"{keys}, {NODES}")
 
-def greedy_pair(links: np.ndarray, over: float | None) -> tuple[int, int] | None:
-    """The pair with the greatest link, the first of equals; none if it isn't over the threshold."""
-    n = len(links)
-    if n < 2:
-        return None
-    upper = np.where(np.triu(np.ones((n, n), dtype=bool), 1), links, -1.0)
-    i, j = divmod(int(upper.argmax()), n)
-    return None if over is not None and not upper[i, j] > over else (i, j)
-
-
-def sequential_pair(links: np.ndarray, over: float) -> tuple[int, int] | None:
-    """The first pair in reading order whose link is over the threshold."""
-    upper = np.argwhere(np.triu(links > over, 1))
-    return (int(upper[0][0]), int(upper[0][1])) if len(upper) else None
-
-
-def grow(ex: list[int], left: np.ndarray, right: np.ndarray, union: bool = False, choose: Callable[[np.ndarray], tuple[int, int] | None] = lambda links: greedy_pair(links, None)) -> list[dict]:
-    """The nodes of one tree (or of a forest, if the choice of pairs ends early)."""
-    sides = Matrix(left, union), Matrix(right, union)
-    ids = list(range(len(ex)))
-
-    def node(i: int, **more) -> dict:
-        return {"norme_l": sides[0].norm(i), "norme_r": sides[1].norm(i), "n_l": sides[0].size(i), "n_r": sides[1].size(i), **more}
-
-    nodes = [node(k, noeud=k, poids=1, hauteur=None, enfants=None, parent=None, ordre=k, feuilles=[e]) for k, e in enumerate(ex)]
-    links = np.minimum(*(m.cosines() for m in sides))
-    computed = len(ex) * (len(ex) - 1) // 2
-    while (pair := choose(links)) is not None:
-        i, j = pair
-        a, b, height = nodes[ids[i]], nodes[ids[j]], float(links[i, j])
-        for m in sides:
-            m.merge(i, j)
-        links = np.delete(np.delete(links, j, axis=0), j, axis=1)
-        links[i] = links[:, i] = np.minimum(*(m.cosines(i) for m in sides))
-        computed += len(links) - 1
-        merged = node(i, noeud=len(nodes), poids=a["poids"] + b["poids"], hauteur=height, enfants=[a["noeud"], b["noeud"]], parent=None, ordre=a["ordre"], feuilles=a["feuilles"] + b["feuilles"])
-        a["parent"] = b["parent"] = merged["noeud"]
-        nodes.append(merged)
-        ids[i] = merged["noeud"]
-        del ids[j]
-    for n in reversed(nodes):  # parents come after their children
-        above = [] if n["parent"] is None else nodes[n["parent"]]["ancetres"]
-        n["ancetres"], n["profondeur"], n["liens"] = [*above, n["noeud"]], len(above), computed
-    return nodes
-
-
-def cluster(side_rows: DataFrame, union: bool = False, over: float | None = None, sequential: bool = False) -> DataFrame:
-    """The trees (NODES) of every lot and relation; with a threshold, the forests of threshold fusion."""
-    choose = (lambda links: sequential_pair(links, over)) if sequential else (lambda links: greedy_pair(links, over))
 
-    def tree(key: tuple, part: pa.Table) -> pa.Table:
-        order = sorted({(o, e) for o, e in zip(part["ordre"].to_pylist(), part["ex"].to_pylist())})
-        place = {e: k for k, (_, e) in enumerate(order)}
-        row = np.array([place[e] for e in part["ex"].to_pylist()])
-        symbol = part["symbole"].combine_chunks().dictionary_encode()
-        column, weight = symbol.indices.to_numpy(), part["poids"].to_numpy()
-        is_left = np.array(part["cote"].to_pylist()) == "L"
-        matrices = []
-        for mask in (is_left, ~is_left):
-            m = np.zeros((len(order), len(symbol.dictionary)))
-            np.add.at(m, (row[mask], column[mask]), weight[mask])
-            matrices.append(m)
-        nodes = grow([e for _, e in order], *matrices, union=union, choose=choose)
-        lot, rt = (k.as_py() for k in key)
-        rows = [{"lot": lot, "rt": rt, **n} for n in nodes]
-        return pa.Table.from_pylist(rows, schema=SCHEMA)
-
-    return side_rows.select("lot", "rt", "ex", "ordre", "cote", "symbole", "poids").groupBy(*TREE).applyInArrow(tree, NODES)
-
-
-SCHEMA = pa.schema([
-    ("lot", pa.string()), ("rt", pa.string()), ("noeud", pa.int32()), ("poids", pa.int32()), ("hauteur", pa.float64()), ("enfants", pa.list_(pa.int32())), ("parent", pa.int32()),
-    ("profondeur", pa.int32()), ("ordre", pa.int32()), ("feuilles", pa.list_(pa.int64())), ("ancetres", pa.list_(pa.int32())), ("norme_l", pa.float64()), ("norme_r", pa.float64()),
-    ("n_l", pa.int32()), ("n_r", pa.int32()), ("liens", pa.int32()),
-])
-
-
-def closure(nodes: DataFrame) -> DataFrame:
-    """(lot, rt, noeud, ancetre) of every node and itself and those above it."""
-    return nodes.select("lot", "rt", "noeud", F.explode("ancetres").alias("ancetre"))
-
-
-def cut_forest(nodes: DataFrame, threshold: float) -> DataFrame:
+def _arrow(schema: str) -> list[tuple[str, pa.DataType]]:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+    return [(name, kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))]
+
+
+def global_ids(nodes: DataFrame) -> DataFrame:
+    """The nodes with ``id``, unique over all trees: types in order, one after the other."""
+    sizes = nodes.groupBy("rt").agg(F.count("*").alias("_n"))  # a row a relation
+    before = sizes.select("rt", F.coalesce(F.sum("_n").over(Window.orderBy("rt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return nodes.join(F.broadcast(before), "rt").withColumn("id", F.col("_b") + F.col("noeud")).drop("_b")
+
+
+def node_symbols(nodes: DataFrame, tree: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(rt, noeud, cote, symbole, poids): the summed vectors of the given nodes (rt, noeud, debut, fin) of a tree.
+
+    Rows are the leaves of each node, so ask for the nodes that matter."""
+    under = nodes.select("rt", "noeud", F.explode(F.sequence(F.col("debut"), F.col("fin") - 1)).alias("debut"))
+    at = tree.filter("enfants is null").select("rt", "debut", "ex")
+    return under.join(at, ["rt", "debut"]).join(leaves.select("rt", "ex", "cote", "symbole", "poids"), ["rt", "ex"]).groupBy("rt", "noeud", "cote", "symbole").agg(F.sum("poids").alias("poids"))
+
+
+def cut_forest(nodes: DataFrame, threshold: float, by: tuple[str, ...] = ("rt",)) -> DataFrame:
     """The forest left of each tree when merges stop before the first with a link under the threshold.
 
     Merges are taken in their order, as heights needn't fall; ``racine`` marks nodes without a kept parent."""
-    w = Window.partitionBy(*TREE)
-    first = F.min(F.when(F.col("hauteur") < threshold, F.col("noeud"))).over(w)
-    kept = nodes.withColumn("_c", first).filter(F.col("_c").isNull() | (F.col("noeud") < F.col("_c")))
-    alive = kept.select("lot", "rt", F.col("noeud").alias("parent"), F.lit(True).alias("_p"))
-    return kept.drop("_c").join(alive, ["lot", "rt", "parent"], "left").withColumn("racine", F.col("_p").isNull()).drop("_p")
+    first = nodes.groupBy(*by).agg(F.min(F.when(F.col("hauteur") < threshold, F.col("noeud"))).alias("_c"))
+    kept = nodes.join(first, list(by)).filter("_c is null or noeud < _c")
+    return kept.withColumn("racine", F.col("parent").isNull() | F.coalesce(F.col("parent") >= F.col("_c"), F.lit(False))).drop("_c")
 
 
 def inversions(nodes: DataFrame) -> DataFrame:
     """Nodes higher than a merged child, with the first such child and the gap."""
-    child = nodes.filter("hauteur is not null").select("lot", "rt", F.col("noeud").alias("enfant"), F.col("parent").alias("noeud"), F.col("hauteur").alias("hc"))
-    rank = nodes.select("lot", "rt", "noeud", "hauteur", "enfants")
-    found = rank.join(child, ["lot", "rt", "noeud"]).filter("hauteur > hc").withColumn("_r", F.array_position("enfants", F.col("enfant")))
-    return found.groupBy("lot", "rt", "noeud").agg(F.min_by(F.struct("enfant", (F.col("hauteur") - F.col("hc")).alias("ecart")), "_r").alias("x")).select("lot", "rt", "noeud", "x.*")
+    child = nodes.filter("hauteur is not null").select("rt", F.col("noeud").alias("enfant"), F.col("parent").alias("noeud"), F.col("hauteur").alias("hc"))
+    rank = nodes.select("rt", "noeud", "hauteur", "enfants")
+    found = rank.join(child, ["rt", "noeud"]).filter("hauteur > hc").withColumn("_r", F.array_position("enfants", F.col("enfant")))
+    return found.groupBy("rt", "noeud").agg(F.min_by(F.struct("enfant", (F.col("hauteur") - F.col("hc")).alias("ecart")), "_r").alias("x")).select("rt", "noeud", "x.*")
 
 
 def isolates(nodes: DataFrame) -> DataFrame:
-    """Small groups split off on the way from the root down the heavy children, and what is left (``noyau``)."""
-    child = nodes.select("lot", "rt", F.col("noeud").alias("e"), F.col("parent").alias("noeud"), F.col("poids").alias("pe"))
-    inner = nodes.filter("enfants is not null").select("lot", "rt", "noeud", "enfants", "hauteur").join(child, ["lot", "rt", "noeud"])
-    rank = F.struct("pe", F.array_position("enfants", F.col("e")))
-    split = inner.groupBy("lot", "rt", "noeud", "hauteur").agg(F.min_by(F.struct("e", "pe"), rank).alias("petit"), F.max_by(F.struct("e", "pe"), rank).alias("gros"))
-    heavy = split.filter(F.col("petit.pe") <= ISOLATE).select("lot", "rt", F.col("gros.e").alias("ancetre"))
-    # A node is on the heavy way if all above it (but the root) are heavy children of nodes with a small other child.
-    way = closure(nodes).join(heavy.withColumn("_h", F.lit(True)), ["lot", "rt", "ancetre"], "left").join(nodes.filter("parent is null").select("lot", "rt", F.col("noeud").alias("_racine")), TREE)
-    on = way.groupBy("lot", "rt", "noeud").agg(F.every(F.coalesce("_h", F.lit(False)) | (F.col("ancetre") == F.col("_racine"))).alias("sur")).filter("sur").select("lot", "rt", "noeud")
-    off = split.join(on, ["lot", "rt", "noeud"]).filter(F.col("petit.pe") <= ISOLATE)
-    core = nodes.join(on, ["lot", "rt", "noeud"]).groupBy(*TREE).agg(F.min("poids").alias("noyau"))
-    return core.join(off.groupBy(*TREE).agg(F.count("*").alias("n_isolats"), F.sum("petit.pe").alias("n_isoles")), TREE, "left").fillna(0, ["n_isolats", "n_isoles"])
+    """Small groups split off on the way from the root down the heavy children (``voie``), and what is left (``noyau``)."""
+    kids = nodes.filter("parent is not null").groupBy("rt", F.col("parent").alias("noeud")).agg(F.min("poids").alias("petit"))
+    way = nodes.filter("voie").select("rt", "noeud", "poids")
+    off = way.join(kids, ["rt", "noeud"]).filter(F.col("petit") <= ISOLATE).groupBy(*TREE).agg(F.count("*").alias("n_isolats"), F.sum("petit").alias("n_isoles"))
+    return way.groupBy(*TREE).agg(F.min("poids").alias("noyau")).join(off, TREE, "left").fillna(0, ["n_isolats", "n_isoles"])
 
 
 def measures(nodes: DataFrame) -> DataFrame:
     """Size, depth, heights, inversions, grafts and isolates of each tree."""
-    weights = nodes.filter("parent is not null").groupBy("lot", "rt", F.col("parent").alias("noeud")).agg(F.min("poids").alias("pmin"), F.max("poids").alias("pmax"))
+    weights = nodes.filter("parent is not null").groupBy("rt", F.col("parent").alias("noeud")).agg(F.min("poids").alias("pmin"), F.max("poids").alias("pmax"))
     grafts = weights.groupBy(*TREE).agg(F.count_if((F.col("pmin") == 1) & (F.col("pmax") > 1)).alias("greffes"))
-    biggest = weights.join(nodes.filter("parent is null").select("lot", "rt", "noeud"), ["lot", "rt", "noeud"]).select("lot", "rt", F.col("pmax").alias("plus_gros_enfant"))
+    biggest = weights.join(nodes.filter("parent is null").select("rt", "noeud"), ["rt", "noeud"]).groupBy("rt").agg(F.max("pmax").alias("plus_gros_enfant"))
     inv = inversions(nodes).groupBy(*TREE).agg(F.count("*").alias("inversions"), F.max("ecart").alias("inversion_max"))
     root = F.col("parent").isNull()
     base = nodes.groupBy(*TREE).agg(
@@ -192,4 +323,4 @@ def runaways(forest: DataFrame) -> DataFrame:
     sizes = forest.groupBy(*TREE).agg(F.count_if(F.col("enfants").isNull()).alias("_n"), F.median(F.when(F.col("enfants").isNull(), F.col("n_l"))).alias("_l"), F.median(F.when(F.col("enfants").isNull(), F.col("n_r"))).alias("_r"))
     rules = forest.filter("parent is null and enfants is not null").join(sizes, TREE)
     rules = rules.withColumn("couvre", F.col("poids") > 0.5 * F.col("_n")).withColumn("enfle", (F.col("n_l") > 3 * F.col("_l")) | (F.col("n_r") > 3 * F.col("_r")))
-    return rules.filter("couvre or enfle").select("lot", "rt", "noeud", "poids", "n_l", "n_r", "couvre", "enfle")
+    return rules.filter("couvre or enfle").select("rt", "noeud", "poids", "n_l", "n_r", "couvre", "enfle")

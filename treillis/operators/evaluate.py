@@ -1,8 +1,6 @@
 """Evaluation of predictions (ex, attendu, predit, score, ...), statistics over folds, exact tests."""
 from __future__ import annotations
 
-from math import comb
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,12 +105,13 @@ def polysemy_rates(predictions: DataFrame, rows: DataFrame, traits: DataFrame) -
 
 
 def descent_statistics(stops: DataFrame) -> DataFrame:
-    """Shares of leaf, root and inner stops, depth and evaluations of winning descents."""
+    """Shares of leaf, root and inner stops, depth, evaluations and relative weight (of ``taille``, the examples of the type) of winning descents."""
     share = lambda c: F.avg(c.cast("int"))
     root = F.col("profondeur") == 0
     return stops.agg(
         F.count("*").alias("n"), share(F.col("feuille")).alias("part_feuilles"), share(root & ~F.col("feuille")).alias("part_racines"), share(~root & ~F.col("feuille")).alias("part_internes"),
         F.avg("profondeur").alias("profondeur_moyenne"), F.avg("calculs").alias("calculs_moyens"), F.max("calculs").alias("calculs_max"),
+        F.avg(F.col("poids") / F.col("taille")).alias("poids_relatif"),
     )
 
 
@@ -162,9 +161,12 @@ def average_ranks(values: DataFrame, value: str, *by: str) -> DataFrame:
 
 
 def wilcoxon(diffs: DataFrame, d: str = "d", *by: str) -> DataFrame:
-    """Exact two-sided signed-rank test by all sign vectors, for few differences (at most 20 by group); zeros count for nothing."""
+    """Exact two-sided signed-rank test by all sign vectors, for few differences; zeros count for nothing.
+
+    A group of more than 20 differences is an error, as there are 2**n sign vectors."""
     ranked_ = average_ranks(diffs.filter(F.abs(d) > 1e-9).withColumn("_a", F.round(F.abs(d), 9)), "_a", *by)
     groups = ranked_.groupBy(*by).agg(F.collect_list("rang_moyen").alias("_r"), F.coalesce(F.sum(F.when(F.col(d) > 0, F.col("rang_moyen"))), F.lit(0.0)).alias("w_plus"), F.count("*").alias("n"))
+    groups = groups.filter(F.assert_true(F.col("n") <= 20, "more than 20 differences").isNull())
     groups = groups.withColumn("_half", F.aggregate("_r", F.lit(0.0), lambda x, y: x + y) / 2)
     each = groups.withColumn("_m", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2.0), F.col("n")).cast("int") - 1)))
     signed = F.aggregate(F.transform("_r", lambda r, i: F.when(F.getbit(F.col("_m"), i) == 1, r).otherwise(0.0)), F.lit(0.0), lambda x, y: x + y)
@@ -172,12 +174,6 @@ def wilcoxon(diffs: DataFrame, d: str = "d", *by: str) -> DataFrame:
     return each.groupBy(*by, "n", "w_plus").agg(F.avg(extreme.cast("int")).alias("p"))
 
 
-def sign_test_p(better: int, worse: int) -> float:
-    """Exact two-sided sign test."""
-    n, x = better + worse, max(better, worse)
-    return min(1.0, 2 * sum(comb(n, k) for k in range(x, n + 1)) / 2**n) if n else 1.0
-
-
 def sign_test(changed: DataFrame) -> DataFrame:
     """The sign test of corrected against broken examples, as one row."""
     counts = changed.agg(F.count_if(F.col("changement") == "corrige").alias("corriges"), F.count_if(F.col("changement") == "casse").alias("casses"))

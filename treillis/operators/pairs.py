@@ -33,14 +33,15 @@ def coded(*side_rows: DataFrame) -> DataFrame:
     return cut(many.select("cote", "symbole", F.monotonically_increasing_id().alias("code")))  # written, as ids aren't the same when a task is repeated
 
 
-def packed(side_rows: DataFrame, codes: DataFrame, keys: list[str]) -> DataFrame:
-    """A row an example: keys, sums of squares by side of all symbols (cL, cR), arrays of codes (sL, sR) and weights (pL, pR) of the coded ones."""
+def packed(side_rows: DataFrame, codes: DataFrame, keys: list[str], sizes: bool = False) -> DataFrame:
+    """A row an example: keys, sums of squares by side of all symbols (cL, cR), arrays of codes (sL, sR) and weights (pL, pR) of the coded ones,
+    and, if asked for, the numbers of all symbols (nL, nR)."""
     of = lambda c, x: F.when(F.col("cote") == c, x)
     entry = F.when(F.col("code").isNotNull(), F.struct("code", "poids"))
     each = side_rows.join(codes, ["cote", "symbole"], "left").groupBy(*keys).agg(
-        *[F.coalesce(F.sum(of(c, F.col("poids") * F.col("poids"))), F.lit(0.0)).alias(f"c{c}") for c in SIDES], *[F.collect_list(of(c, entry)).alias(f"_{c}") for c in SIDES],
+        *[F.coalesce(F.sum(of(c, F.col("poids") * F.col("poids"))), F.lit(0.0)).alias(f"c{c}") for c in SIDES], *[F.collect_list(of(c, entry)).alias(f"_{c}") for c in SIDES], *[F.count(of(c, F.lit(1))).alias(f"n{c}") for c in SIDES],
     )
-    return each.select(*keys, *[f"c{c}" for c in SIDES], *[F.col(f"_{c}.code").alias(f"s{c}") for c in SIDES], *[F.col(f"_{c}.poids").alias(f"p{c}") for c in SIDES])
+    return each.select(*keys, *[f"c{c}" for c in SIDES], *[f"n{c}" for c in SIDES if sizes], *[F.col(f"_{c}.code").alias(f"s{c}") for c in SIDES], *[F.col(f"_{c}.poids").alias(f"p{c}") for c in SIDES])
 
 
 def block_pairs(side_rows: DataFrame, same: bool, block: int = BLOCK) -> DataFrame:
@@ -71,7 +72,7 @@ class Block:
         return self.kept[name]
 
 
-def strips(one: Block, two: Block) -> Iterator[tuple[int, int, dict[str, np.ndarray], dict[str, np.ndarray]]]:
+def strips(one: Block, two: Block, strip: int = STRIP) -> Iterator[tuple[int, int, dict[str, np.ndarray], dict[str, np.ndarray]]]:
     """By strip of rows of the first block: its bounds, and by side whether it shares a symbol with each row of the second, and the products (flat)."""
     ready = {}
     for c in SIDES:
@@ -80,8 +81,8 @@ def strips(one: Block, two: Block) -> Iterator[tuple[int, int, dict[str, np.ndar
         sb, rb, wb = sb[order], rb[order], wb[order]
         first = np.searchsorted(sb, sa)
         ready[c] = ra, wa, rb, wb, first, np.searchsorted(sb, sa, "right") - first
-    for low in range(0, one.n, STRIP):
-        high = min(low + STRIP, one.n)
+    for low in range(0, one.n, strip):
+        high = min(low + strip, one.n)
         met, dots = {}, {}
         for c, (ra, wa, rb, wb, first, count) in ready.items():
             x, y = np.searchsorted(ra, (low, high))  # entries stand by row
@@ -222,46 +223,3 @@ def score_percentiles(side_rows: DataFrame, shares: dict[str, float], block: int
     other = side_rows.sparkSession.createDataFrame(rest, "meme boolean, bac bigint, score double, n bigint, hauts bigint")
     every = score_counts(side_rows, wanted, block).unionByName(other)
     return every.groupBy("meme").agg(F.sum("n").alias("n"), (F.sum("hauts") / F.sum("n")).alias("part_haute"), *[F.percentile("score", F.lit(p), F.col("n")).alias(c) for c, p in shares.items()])
-
-
-def best(questions: DataFrame, vectors: DataFrame, block: int = 2 * BLOCK) -> DataFrame:
-    """(ex, lot, rt, noeud, score): of all the given nodes the best for each question (first rt, lot, noeud of equals); a task keeps only the best of its block.
-
-    ``vectors`` (lot, rt, noeud, cote, symbole, poids) are the nodes' sums. A score is the mean of the cosines of both sides, with nine decimals."""
-    bound_arrow_batches(questions.sparkSession)
-    codes = coded(questions, vectors)
-    asked = packed(questions, codes, ["ex"]).selectExpr("0 AS genre", "ex", "string(null) AS lot", "string(null) AS rt", "int(null) AS noeud", *PARTS)
-    nodes = packed(vectors, codes, ["lot", "rt", "noeud"]).selectExpr("1 AS genre", "bigint(null) AS ex", "lot", "rt", "noeud", *PARTS)
-    n = [F.broadcast(x.distinct().agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias(c))) for x, c in ((questions.select("ex"), "nq"), (vectors.select("lot", "rt", "noeud"), "nn"))]
-    dealt = asked.unionByName(nodes).crossJoin(n[0]).crossJoin(n[1])  # one row each
-    dealt = dealt.withColumn("bloc", F.when(F.col("genre") == 0, F.pmod(F.xxhash64("ex"), "nq")).otherwise(F.pmod(F.xxhash64("lot", "rt", "noeud"), "nn")).cast("int"))
-    blocks = dealt.groupBy("genre", "bloc", "nq", "nn").agg(F.collect_list(F.struct("ex", "lot", "rt", "noeud", *PARTS)).alias("lignes"))
-    spread = blocks.withColumn("_o", F.explode(F.sequence(F.lit(0), F.when(F.col("genre") == 0, F.col("nn")).otherwise(F.col("nq")) - 1)))
-    pick = lambda genre: F.when(F.col("genre") == genre, F.col("bloc")).otherwise(F.col("_o"))
-    paired = spread.select("genre", pick(0).alias("a"), pick(1).alias("b"), "lignes")
-
-    def run(key: tuple, part: pa.Table) -> pa.Table:
-        found = {g: Block(x.values) for g, x in zip(part["genre"].to_pylist(), (s for c in part["lignes"].chunks for s in c), strict=True)}
-        if len(found) < 2:
-            return SCHEMA.empty_table()
-        one, two = found[0], found[1]
-        order = np.lexsort((two.column("noeud"), *(two.column(c).astype(str) for c in ("lot", "rt"))))
-        at, score = [], []
-        for low, high, _, dots in strips(one, two):
-            total = np.zeros((high - low, two.n))
-            for c in SIDES:
-                scale = np.outer(one.norms[c][low:high], two.norms[c])
-                total += 0.5 * np.divide(dots[c].reshape(total.shape), scale, out=np.zeros_like(total), where=scale > 0)
-            total = np.round(total, 9)[:, order]
-            first = total.argmax(axis=1)
-            at.append(order[first])
-            score.append(total[np.arange(high - low), first])
-        at = pa.array(np.concatenate(at))
-        return pa.table([one.rows.field("ex"), *(two.rows.field(c).take(at) for c in ("lot", "rt", "noeud")), pa.array(np.concatenate(score))], schema=SCHEMA)
-
-    each = paired.groupBy("a", "b").applyInArrow(run, "ex bigint, lot string, rt string, noeud int, score double")
-    top = each.groupBy("ex").agg(F.min_by(F.struct("lot", "rt", "noeud", "score"), F.struct(-F.col("score"), "rt", "lot", "noeud")).alias("x"))
-    return top.select("ex", "x.*")
-
-
-SCHEMA = pa.schema([("ex", pa.int64()), ("lot", pa.string()), ("rt", pa.string()), ("noeud", pa.int32()), ("score", pa.float64())])

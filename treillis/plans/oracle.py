@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from treillis.model import EXCLUDED_TYPES, IDF_FAMILY, REFERENCE, RETAINED, WEIGHTED_TRAITS, Config
-from treillis.plans.reference import LEVELS, SIGNATURES
+from treillis.plans.reference import SIGNATURES
 
 C = "corpus_r_processus_instr_1"
 _EXCLUDED = ", ".join(f"'{t}'" for t in EXCLUDED_TYPES)
@@ -82,34 +82,35 @@ def answers(c: Config = RETAINED, tag: str = "") -> list[str]:
 
 PAIRS = [
     *signature(RETAINED), sides(TRAIN, "feuilles"),
-    "nf AS (SELECT lot, ex, cote, sqrt(sum(poids * poids)) AS n FROM feuilles GROUP BY ALL)",
+    "nf AS (SELECT ex, cote, sqrt(sum(poids * poids)) AS n FROM feuilles GROUP BY ALL)",
 ]
-GRAM = [*PAIRS, """gram AS (SELECT a.lot, a.rt, a.cote, a.ex AS i, b.ex AS j, sum(a.poids * b.poids) AS produit FROM feuilles AS a JOIN feuilles AS b ON a.lot = b.lot AND a.rt = b.rt AND a.cote = b.cote AND a.symbole = b.symbole
+GRAM = [*PAIRS, """gram AS (SELECT a.rt, a.cote, a.ex AS i, b.ex AS j, sum(a.poids * b.poids) AS produit FROM feuilles AS a JOIN feuilles AS b ON a.rt = b.rt AND a.cote = b.cote AND a.symbole = b.symbole
   AND (a.ordre < b.ordre OR (a.ordre = b.ordre AND a.ex <= b.ex)) GROUP BY ALL)"""]
-LOT_PAIRS = [*PAIRS, """lp0 AS (SELECT a.lot, a.cote, a.ex AS i, b.ex AS j, a.rt = b.rt AS meme, sum(a.poids * b.poids) AS d FROM feuilles AS a JOIN feuilles AS b ON a.lot = b.lot AND a.cote = b.cote AND a.symbole = b.symbole AND a.ex < b.ex GROUP BY ALL),
-lp1 AS (SELECT p.lot, i, j, meme, p.cote, d / (x.n * y.n) AS s FROM lp0 AS p JOIN nf AS x ON x.lot = p.lot AND x.ex = i AND x.cote = p.cote JOIN nf AS y ON y.lot = p.lot AND y.ex = j AND y.cote = p.cote),
-lp2 AS (SELECT lot, i, j, meme, coalesce(max(CASE WHEN cote = 'L' THEN s END), 0) AS l, coalesce(max(CASE WHEN cote = 'R' THEN s END), 0) AS r FROM lp1 GROUP BY ALL),
-lp AS (SELECT lot, i, j, meme, least(l, r) AS lien, 0.5 * (l + r) AS score FROM lp2)"""]
+ALL_PAIRS = [*PAIRS, """lp0 AS (SELECT a.cote, a.ex AS i, b.ex AS j, a.rt = b.rt AS meme, sum(a.poids * b.poids) AS d FROM feuilles AS a JOIN feuilles AS b ON a.cote = b.cote AND a.symbole = b.symbole AND a.ex < b.ex GROUP BY ALL),
+lp1 AS (SELECT i, j, meme, p.cote, round(d / (x.n * y.n), 9) AS s FROM lp0 AS p JOIN nf AS x ON x.ex = i AND x.cote = p.cote JOIN nf AS y ON y.ex = j AND y.cote = p.cote),
+lp2 AS (SELECT i, j, meme, coalesce(max(CASE WHEN cote = 'L' THEN s END), 0) AS l, coalesce(max(CASE WHEN cote = 'R' THEN s END), 0) AS r FROM lp1 GROUP BY ALL),
+lp AS (SELECT i, j, meme, least(l, r) AS lien, round(0.5 * (l + r), 9) AS score FROM lp2)"""]
 
-TREES = [
+# Leaves are numbered in corpus order within their relation; a tree of n leaves has its root last, as node 2 n - 2.
+LEAVES = [
     *signature(RETAINED), sides(TRAIN, "feuilles"), sides(ASKED, "questions"),
-    "place AS (SELECT lot, rt, ex, row_number() OVER (PARTITION BY lot, rt ORDER BY ordre, ex) - 1 AS pos, count(*) OVER (PARTITION BY lot, rt) - 1 AS fin FROM ex WHERE split = 'train')",
-    f"sous AS (SELECT lot, rt, ex, k, (fin >> k) = 0 AS racine, (k * 1000 + (pos >> k))::INT AS noeud FROM place CROSS JOIN (SELECT unnest(range({LEVELS + 1}))::INT AS k) WHERE k = 0 OR (fin >> (k - 1)) > 0)",
-    "noeuds_ AS (SELECT lot, rt, noeud, k, racine, count(*)::INT AS poids FROM sous GROUP BY ALL)",
-    "vn AS (SELECT s.lot, s.rt, s.noeud, f.cote, f.symbole, sum(f.poids) AS p FROM feuilles AS f JOIN sous AS s ON s.lot = f.lot AND s.rt = f.rt AND s.ex = f.ex GROUP BY ALL)",
-    "nn AS (SELECT lot, rt, noeud, cote, sqrt(sum(p * p)) AS n FROM vn GROUP BY ALL)",
-    "nq AS (SELECT lot, ex, cote, sqrt(sum(poids * poids)) AS n FROM questions GROUP BY ALL)",
-    "dn AS (SELECT q.lot, q.ex, v.rt, v.noeud, q.cote, sum(q.poids * v.p) AS d FROM questions AS q JOIN vn AS v ON v.lot = q.lot AND v.cote = q.cote AND v.symbole = q.symbole GROUP BY ALL)",
-    "sn AS (SELECT d.lot, d.ex, d.rt, d.noeud, 0.5 * sum(d / (nn.n * nq.n)) AS s FROM dn AS d JOIN nn ON nn.lot = d.lot AND nn.rt = d.rt AND nn.noeud = d.noeud AND nn.cote = d.cote JOIN nq ON nq.lot = d.lot AND nq.ex = d.ex AND nq.cote = d.cote GROUP BY ALL)",
-    "scores AS (SELECT q.lot, q.ex, n.rt, n.noeud, n.k, n.racine, n.poids, round(coalesce(s, 0), 9) AS score FROM (SELECT DISTINCT lot, ex FROM questions) AS q JOIN noeuds_ AS n USING (lot) LEFT JOIN sn ON sn.lot = q.lot AND sn.ex = q.ex AND sn.rt = n.rt AND sn.noeud = n.noeud)",
+    "nq AS (SELECT ex, cote, sqrt(sum(poids * poids)) AS n FROM questions GROUP BY ALL)",
+    "place AS (SELECT rt, ex AS feuille, (row_number() OVER (PARTITION BY rt ORDER BY lot, ordre, ex) - 1)::INT AS noeud FROM ex WHERE split = 'train')",
 ]
-DESCENT = [
-    *TREES,
-    "enfants AS (SELECT lot, ex, rt, (k + 1) * 1000 + (noeud % 1000 >> 1) AS parent, noeud, score, row_number() OVER (PARTITION BY lot, ex, rt, (k + 1) * 1000 + (noeud % 1000 >> 1) ORDER BY score DESC, noeud) AS r, count(*) OVER (PARTITION BY lot, ex, rt, (k + 1) * 1000 + (noeud % 1000 >> 1)) AS n FROM scores WHERE NOT racine)",
-    """pas AS (SELECT lot, ex, rt, noeud, score, 0 AS profondeur, 1 AS calculs FROM scores WHERE racine
-  UNION ALL SELECT p.lot, p.ex, p.rt, e.noeud, e.score, p.profondeur + 1, p.calculs + e.n FROM pas AS p JOIN enfants AS e ON e.lot = p.lot AND e.ex = p.ex AND e.rt = p.rt AND e.parent = p.noeud AND e.r = 1 AND e.score > p.score)""",
-    """arret AS (SELECT p.lot, p.ex, p.rt, p.noeud, p.score, p.profondeur, (p.calculs + coalesce(e.n, 0))::INT AS calculs, p.noeud < 1000 AS feuille FROM (SELECT *, row_number() OVER (PARTITION BY lot, ex, rt ORDER BY profondeur DESC) AS k FROM pas) AS p
-  LEFT JOIN (SELECT DISTINCT lot, ex, rt, parent, n FROM enfants) AS e ON e.lot = p.lot AND e.ex = p.ex AND e.rt = p.rt AND e.parent = p.noeud WHERE p.k = 1)""",
+NEIGHBOURS = [
+    *LEAVES,
+    "nl AS (SELECT ex, cote, sqrt(sum(poids * poids)) AS n FROM feuilles GROUP BY ALL)",
+    "dl AS (SELECT q.ex, f.ex AS feuille, q.cote, sum(q.poids * f.poids) AS d FROM questions AS q JOIN feuilles AS f USING (cote, symbole) GROUP BY ALL)",
+    "sl AS (SELECT d.ex, d.feuille, 0.5 * sum(d / (nq.n * nl.n)) AS s FROM dl AS d JOIN nq ON nq.ex = d.ex AND nq.cote = d.cote JOIN nl ON nl.ex = d.feuille AND nl.cote = d.cote GROUP BY ALL)",
+    "scores AS (SELECT q.ex, p.rt, p.noeud, round(coalesce(s, 0), 9) AS score FROM (SELECT DISTINCT ex FROM questions) AS q CROSS JOIN place AS p LEFT JOIN sl ON sl.ex = q.ex AND sl.feuille = p.feuille)",
+]
+ROOTS = [
+    *LEAVES,
+    "vr AS (SELECT rt, cote, symbole, sum(poids) AS p FROM feuilles GROUP BY ALL)",
+    "nr AS (SELECT rt, cote, sqrt(sum(p * p)) AS n FROM vr GROUP BY ALL)",
+    "dr AS (SELECT q.ex, v.rt, q.cote, sum(q.poids * v.p) AS d FROM questions AS q JOIN vr AS v USING (cote, symbole) GROUP BY ALL)",
+    "sr AS (SELECT d.ex, d.rt, 0.5 * sum(d / (nq.n * nr.n)) AS s FROM dr AS d JOIN nq ON nq.ex = d.ex AND nq.cote = d.cote JOIN nr ON nr.rt = d.rt AND nr.cote = d.cote GROUP BY ALL)",
+    "scores AS (SELECT q.ex, p.rt, p.noeud, round(coalesce(s, 0), 9) AS score FROM (SELECT DISTINCT ex FROM questions) AS q CROSS JOIN (SELECT rt, (2 * count(*) - 2)::INT AS noeud FROM place GROUP BY rt) AS p LEFT JOIN sr ON sr.ex = q.ex AND sr.rt = p.rt)",
 ]
 MEASURES = "mes AS (SELECT l_returnflag || l_linestatus AS cle, l_linenumber AS graine, (l_suppkey % 5)::INT AS pli, round(avg(l_quantity) / 50, 9) AS f1 FROM lineitem GROUP BY ALL)"
 CONTEXTS = f"""couples AS (SELECT ligne_id, fichier, relation, syntagme, string_split(unnest(string_split(candidats, ' | ')), ' / ') AS s FROM {C} WHERE candidats <> ''),
@@ -127,8 +128,8 @@ def sql(parts: list[str] | str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + select
 
 
-def _best(which: str) -> str:
-    return sql(TREES, f"SELECT ex, rt AS predit, noeud, round(score, 6) AS score, calculs FROM (SELECT *, count(*) OVER (PARTITION BY lot, ex) AS calculs, row_number() OVER (PARTITION BY lot, ex ORDER BY score DESC, rt, noeud) AS r FROM scores WHERE {which}) WHERE r = 1")
+def _best(scores: list[str]) -> str:
+    return sql(scores, "SELECT ex, rt AS predit, noeud, round(score, 6) AS score, calculs FROM (SELECT *, count(*) OVER (PARTITION BY ex) AS calculs, row_number() OVER (PARTITION BY ex ORDER BY score DESC, rt, noeud) AS r FROM scores) WHERE r = 1")
 
 
 def _split() -> str:
@@ -225,19 +226,15 @@ SELECT src AS terme, row_number() OVER (PARTITION BY src ORDER BY poids DESC, ds
             "SELECT ex, n_commun, round(n_commun / sqrt(n_a::DOUBLE * n_b), 6) AS cosinus, round(n_commun / n_a, 6) AS couverture, round(n_commun / (n_commun + (n_a - n_commun) + 0.2::DOUBLE * (n_b - n_commun)), 6) AS tversky, round(d / (sqrt(ca) * sqrt(cb)), 6) AS pondere FROM m"),
         "reference_cosine": sql([*sig, "r AS (SELECT ref_id, trait || ':' || symbole AS symbole, poids AS q FROM signatures_ref)", "nr AS (SELECT ref_id, sqrt(sum(q * q)) AS nr FROM r GROUP BY ref_id)", "nt AS (SELECT terme, sqrt(sum(poids * poids)) AS nt FROM sig GROUP BY terme)", "s AS (SELECT terme, ref_id, round(sum(poids * q) / (any_value(nt) * any_value(nr)), 6) AS sim FROM sig JOIN r USING (symbole) JOIN nt USING (terme) JOIN nr USING (ref_id) GROUP BY ALL)"],
             "SELECT terme, ref_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY terme ORDER BY sim DESC, ref_id) AS k FROM s) WHERE k = 1"),
-        "leaf_gram": sql(GRAM, "SELECT lot, rt, cote, i, j, round(produit, 6) AS produit FROM gram"),
-        "pair_links": sql([*GRAM, "pl AS (SELECT g.lot, g.rt, i, j, g.cote, produit / (x.n * y.n) AS s FROM gram AS g JOIN nf AS x ON x.lot = g.lot AND x.ex = i AND x.cote = g.cote JOIN nf AS y ON y.lot = g.lot AND y.ex = j AND y.cote = g.cote WHERE i <> j)", "pm AS (SELECT lot, rt, i, j, coalesce(max(CASE WHEN cote = 'L' THEN s END), 0) AS l, coalesce(max(CASE WHEN cote = 'R' THEN s END), 0) AS r FROM pl GROUP BY ALL)"],
-            "SELECT lot, rt, i, j, round(least(l, r), 6) AS lien, round(0.5 * (l + r), 6) AS score FROM pm"),
-        "merge_criterion_sweep": sql(LOT_PAIRS, "SELECT meme, seuil::DOUBLE AS seuil, count(*) AS n, count(*) FILTER (round(lien, 6) > seuil) AS n_deux, count(*) FILTER (round(score, 6) > seuil) AS n_moyenne FROM lp CROSS JOIN (SELECT unnest([0.205, 0.305, 0.405, 0.505, 0.605, 0.705]) AS seuil) GROUP BY 1, 2"),
-        "noise_signal": sql(LOT_PAIRS, "SELECT meme, count(*) AS n, round(quantile_cont(score, 0.5), 6) AS mediane, round(quantile_cont(score, 0.9), 6) AS c90, round(avg((score > 0.5)::INT), 6) AS part_haute FROM lp GROUP BY meme"),
+        "leaf_gram": sql(GRAM, "SELECT rt, cote, i, j, round(produit, 6) AS produit FROM gram"),
+        "pair_links": sql([*GRAM, "pl AS (SELECT g.rt, i, j, g.cote, round(produit / (x.n * y.n), 9) AS s FROM gram AS g JOIN nf AS x ON x.ex = i AND x.cote = g.cote JOIN nf AS y ON y.ex = j AND y.cote = g.cote WHERE i <> j)", "pm AS (SELECT rt, i, j, coalesce(max(CASE WHEN cote = 'L' THEN s END), 0) AS l, coalesce(max(CASE WHEN cote = 'R' THEN s END), 0) AS r FROM pl GROUP BY ALL)"],
+            "SELECT rt, i, j, round(least(l, r), 6) AS lien, round(0.5 * (l + r), 6) AS score FROM pm"),
+        "merge_criterion_sweep": sql(ALL_PAIRS, "SELECT meme, seuil::DOUBLE AS seuil, count(*) AS n, count(*) FILTER (round(lien, 6) > seuil) AS n_deux, count(*) FILTER (round(score, 6) > seuil) AS n_moyenne FROM lp CROSS JOIN (SELECT unnest([0.205, 0.305, 0.405, 0.505, 0.605, 0.705]) AS seuil) GROUP BY 1, 2"),
+        "noise_signal": sql(ALL_PAIRS, "SELECT meme, count(*) AS n, round(quantile_cont(score, 0.5), 6) AS mediane, round(quantile_cont(score, 0.9), 6) AS c90, round(avg((score > 0.5)::INT), 6) AS part_haute FROM lp GROUP BY meme"),
         "class_centroids": sql(answers(), "SELECT rt, cote, symbole, round(poids, 6) AS poids FROM centres"),
         "centroid_answers": sql(answers(), "SELECT ex, rt, round(score, 6) AS score, rang::INT AS rang FROM rang"),
         "nearest_centroid": sql(answers(), "SELECT ex, attendu, predit, round(score, 6) AS score, second, round(ecart, 6) AS ecart, ecart < 0.05 AS serre FROM pred"),
-        "nearest_neighbour": _best("noeud < 1000"), "exhaustive": _best("true"), "roots_only": _best("racine"),
-        "descent": sql(DESCENT, "SELECT ex, rt, noeud, round(score, 6) AS score, profondeur, calculs, CASE WHEN feuille THEN 'feuille' WHEN profondeur = 0 THEN 'racine' ELSE 'interne' END AS nature FROM arret", True),
-        "descent_ranking": sql(DESCENT, "SELECT ex, rt, noeud, round(score, 6) AS score, row_number() OVER (PARTITION BY ex ORDER BY score DESC, noeud, rt)::INT AS rang FROM arret", True),
-        "descent_statistics": sql([*DESCENT, "gagnants AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ex ORDER BY score DESC, noeud, rt) AS r FROM arret) WHERE r = 1)"],
-            "SELECT count(*) AS n, round(avg(feuille::INT), 6) AS part_feuilles, round(avg((profondeur = 0 AND NOT feuille)::INT), 6) AS part_racines, round(avg((profondeur > 0 AND NOT feuille)::INT), 6) AS part_internes, round(avg(profondeur), 6) AS profondeur_moyenne, round(avg(calculs), 6) AS calculs_moyens, max(calculs) AS calculs_max FROM gagnants", True),
+        "nearest_neighbour": _best(NEIGHBOURS), "roots_only": _best(ROOTS),
         "decisive_symbols": sql([*answers(), "profil AS (SELECT rt AS predit, cote, symbole, round(poids / n, 6) AS part FROM centres JOIN (SELECT rt, count(*) AS n FROM ex WHERE split = 'train' GROUP BY rt) USING (rt))"],
             "SELECT ex, cote, symbole, rang::INT AS rang, part FROM (SELECT q.ex, q.cote, q.symbole, part, row_number() OVER (PARTITION BY q.ex, q.cote ORDER BY part DESC, q.symbole) AS rang FROM questions AS q JOIN pred AS p USING (ex) JOIN profil AS f ON f.predit = p.predit AND f.cote = q.cote AND f.symbole = q.symbole) WHERE rang <= 5"),
         "per_type": sql(PER_TYPE, "SELECT rt, n_attendus, n_predits, vrais, round(precision, 6) AS precision, round(rappel, 6) AS rappel, round(f1, 6) AS f1 FROM prf"),
@@ -256,7 +253,7 @@ SELECT src AS terme, row_number() OVER (PARTITION BY src ORDER BY poids DESC, ds
         "polysemy_rates": sql([*answers(), *TRAITS], "SELECT coalesce(a.polysemique, false) OR coalesce(b.polysemique, false) AS polysemique, count(*) AS n, count(*) FILTER (attendu <> predit) AS erreurs, round(avg((attendu <> predit)::INT), 6) AS taux FROM pred JOIN ex USING (ex) LEFT JOIN durs AS a ON a.terme = ex.A LEFT JOIN durs AS b ON b.terme = ex.B GROUP BY 1"),
         "trait_ablation": _ablation(),
         "definiteness_symbols": sql(EX, "SELECT symbole, rt, count(*) AS n FROM (SELECT rt, 'DEF:' || unnest([det, definitude]) AS symbole FROM ex) WHERE symbole IS NOT NULL GROUP BY ALL"),
-        "stratified_folds": sql(EX, "SELECT graine, ex, least(r // greatest(1, n // 5), 4)::INT AS pli FROM (SELECT graine, ex, row_number() OVER (PARTITION BY graine, lot, rt ORDER BY md5(graine || '|' || ex), ex) - 1 AS r, count(*) OVER (PARTITION BY graine, lot, rt) AS n FROM ex CROSS JOIN (SELECT unnest([42, 43])::INT AS graine) WHERE split = 'train')"),
+        "stratified_folds": sql(EX, "SELECT graine, ex, least(r // greatest(1, n // 5), 4)::INT AS pli FROM (SELECT graine, ex, row_number() OVER (PARTITION BY graine, rt ORDER BY md5(graine || '|' || ex), ex) - 1 AS r, count(*) OVER (PARTITION BY graine, rt) AS n FROM ex CROSS JOIN (SELECT unnest([42, 43])::INT AS graine) WHERE split = 'train')"),
         "missing_tasks": sql(MEASURES, "SELECT cle, graine, pli FROM (SELECT DISTINCT cle FROM mes) CROSS JOIN (SELECT unnest(range(1, 9))::INT AS graine) CROSS JOIN (SELECT unnest(range(5))::INT AS pli) WHERE (cle, graine, pli) NOT IN (SELECT (cle, graine, pli) FROM mes)"),
         "complete_measures": sql(MEASURES, "SELECT cle, graine, pli, round(f1, 6) AS f1 FROM mes WHERE cle IN (SELECT cle FROM mes GROUP BY cle HAVING count(*) = 35)"),
         "aggregate_measures": sql([MEASURES, "a AS (SELECT cle, count(*) AS n, avg(f1) AS f1_moyen, stddev_samp(f1) AS ecart_type FROM mes GROUP BY cle)", "b AS (SELECT * FROM a ORDER BY f1_moyen DESC, cle DESC LIMIT 1)"], "SELECT a.cle, a.n, round(a.f1_moyen, 6) AS f1_moyen, round(a.ecart_type, 6) AS ecart_type, a.f1_moyen >= b.f1_moyen - coalesce(b.ecart_type, 0) AS indistinct FROM a CROSS JOIN b"),

@@ -11,8 +11,6 @@ from treillis.session import cut, table
 from treillis.sources import collection, corpus as corpus_files, store
 
 TABLES = {"corpus": "corpus_r_processus_instr_1", "termes": "termes_jdm", "aretes": "aretes", "noeuds": "noeuds", "types": "jdm_relations_types", "refs": "signatures_ref"}
-#: Levels of the balanced trees: enough for a file of eighty rows.
-LEVELS = 7
 
 
 def r6(c: Column | str) -> Column:
@@ -84,13 +82,13 @@ class Frames:
     def trees(self, **how) -> DataFrame:
         return self.once(f"arbres {sorted(how.items())}", lambda: clustering.cluster(self.leaves(), **how))
 
-    def balanced_nodes(self) -> DataFrame:
-        return self.once("equilibres", lambda: balanced_trees(self.train(), self.leaves()))
+    def tree_answers(self) -> DataFrame:
+        """What the grown trees of all relations answer to each question."""
+        return self.once("reponses des arbres", lambda: classify.tree_answers(self.questions(), self.leaves(), self.trees()))
 
-    def balanced(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Leaves, balanced trees over each lot and relation in corpus order, and the scores of all nodes."""
-        nodes = self.balanced_nodes()
-        return self.leaves(), nodes, self.once("scores", lambda: classify.node_scores(self.questions(), self.leaves(), nodes))
+    def descended(self) -> DataFrame:
+        """Predictions by descent."""
+        return self.once("descentes", lambda: classify.winners(self.tree_answers()).join(self.expected(), "ex"))
 
     def measures(self) -> DataFrame:
         """A table of measures: a configuration for each pair of line flags, a seed for each line number."""
@@ -98,22 +96,6 @@ class Frames:
         return m.agg(F.round(F.avg("l_quantity") / 50, 9).alias("f1"))
 
 
-def balanced_trees(rows: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Node tables of complete binary trees: node (level, i) covers the leaves from i * 2**level on, up to the first level of one node."""
-    tree = Window.partitionBy("lot", "rt")
-    half = lambda n, k: F.floor(n / F.pow(F.lit(2.0), k))
-    placed = rows.select("lot", "rt", "ex", (F.row_number().over(tree.orderBy("ordre", "ex")) - 1).alias("pos"), F.count("*").over(tree).alias("n")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
-    at = placed.filter((F.col("k") == 0) | (half(F.col("n") - 1, F.col("k") - 1) > 0)).withColumn("noeud", (F.col("k") * 1000 + half(F.col("pos"), F.col("k"))).cast("int"))
-    nodes = at.groupBy("lot", "rt", "noeud", "k", "n").agg(F.array_sort(F.collect_list("ex")).alias("feuilles"), F.count("*").cast("int").alias("poids")).withColumn("top", F.max("k").over(tree))
-    i = F.col("noeud") % 1000
-    kids = F.when(F.col("k") > 0, F.transform(F.sequence(2 * i, F.least(2 * i + 1, half(F.col("n") - 1, F.col("k") - 1)).cast("int")), lambda x: ((F.col("k") - 1) * 1000 + x).cast("int")))
-    up = F.transform(F.sequence(F.col("top"), F.col("k"), F.lit(-1)), lambda j: (j * 1000 + half(i, j - F.col("k"))).cast("int"))
-    sums = leaves.join(at.select("lot", "rt", "ex", "noeud"), ["lot", "rt", "ex"]).groupBy("lot", "rt", "noeud", "cote", "symbole").agg(F.sum("poids").alias("p"))
-    norms = sums.groupBy("lot", "rt", "noeud").agg(*[F.coalesce(F.sqrt(F.sum(F.when(F.col("cote") == c, F.col("p") * F.col("p")))), F.lit(0.0)).alias(f"norme_{c.lower()}") for c in "LR"])
-    parent = F.when(F.col("k") < F.col("top"), ((F.col("k") + 1) * 1000 + F.floor(i / 2)).cast("int"))
-    return nodes.select("lot", "rt", "noeud", "poids", "feuilles", kids.alias("enfants"), parent.alias("parent"), (F.col("top") - F.col("k")).alias("profondeur"), up.alias("ancetres")).join(norms, ["lot", "rt", "noeud"])
-
-
 # Corpus and text ---------------------------------------------------------------------------------------------
 
 
@@ -375,32 +357,39 @@ def nearest_centroid(f: Frames) -> DataFrame:
     return f.predictions().select("ex", "attendu", "predit", r6("score").alias("score"), "second", r6("ecart").alias("ecart"), "serre")
 
 
-def nearest_neighbour(f: Frames) -> DataFrame:
-    found = classify.best_everywhere(f.questions(), f.leaves(), f.balanced_nodes(), "feuilles")
-    return found.select("ex", "lot", F.col("rt").alias("predit"), "noeud", r6("score").alias("score"), "calculs")
-
+def _best_of(which: str, doc: str):
+    def query(f: Frames) -> DataFrame:
+        found = classify.best_everywhere(f.tree_answers(), which)
+        return found.select("ex", F.col("rt").alias("predit"), "noeud", r6("score").alias("score"), "calculs")
 
-def exhaustive(f: Frames) -> DataFrame:
-    found = classify.best_everywhere(f.questions(), f.leaves(), f.balanced_nodes())
-    return found.select("ex", "lot", F.col("rt").alias("predit"), "noeud", r6("score").alias("score"), "calculs")
+    query.__doc__ = doc
+    return query
 
 
-def roots_only(f: Frames) -> DataFrame:
-    found = classify.best_everywhere(f.questions(), f.leaves(), f.balanced_nodes(), "racines")
-    return found.select("ex", "lot", F.col("rt").alias("predit"), "noeud", r6("score").alias("score"), "calculs")
+BEST = {
+    "nearest_neighbour": _best_of("feuilles", "The most similar training example of all relations and files."),
+    "exhaustive": _best_of("tous", "The best of all nodes of the grown trees."),
+    "roots_only": _best_of("racines", "The best of the roots of the grown trees."),
+}
 
 
 def descent(f: Frames) -> DataFrame:
-    leaves, nodes, scores = f.balanced()
-    return classify.stop_kind(classify.descend(scores, nodes)).select("ex", "rt", "noeud", r6("score").alias("score"), "profondeur", "calculs", "nature")
+    """Where each question's descent stops in the tree of each relation."""
+    return classify.stop_kind(classify.stops(f.tree_answers())).select("ex", "rt", "noeud", r6("score").alias("score"), "profondeur", "calculs", "nature")
 
 
 def descent_ranking(f: Frames) -> DataFrame:
-    leaves, nodes, scores = f.balanced()
-    r = classify.ranked(classify.descend(scores, nodes), "noeud", "rt")
+    r = classify.ranked(classify.stops(f.tree_answers()), "rt", "noeud")
     return r.select("ex", "rt", "noeud", r6("score").alias("score"), "rang")
 
 
+def forest_descent(f: Frames) -> DataFrame:
+    """Descent from every root of the forests cut at a link of one half: the best answer of each example."""
+    forest = clustering.cut_forest(f.trees(), 0.5)
+    answers = cut(classify.tree_answers(f.questions(), f.leaves(), forest))
+    return classify.winners(answers).select("ex", "predit", "noeud", r6("score").alias("score"), "poids", "calculs")
+
+
 def decisive_symbols(f: Frames) -> DataFrame:
     n = f.train().groupBy("rt").agg(F.count("*").alias("n"))
     profile = f.centers().join(n, "rt").select("rt", "cote", "symbole", r6(F.col("poids") / F.col("n")).alias("poids"))
@@ -416,7 +405,7 @@ def _trees(f: Frames, **how) -> DataFrame:
 
 
 def _flat(nodes: DataFrame) -> DataFrame:
-    return nodes.select("lot", "rt", "noeud", "poids", r6("hauteur").alias("hauteur"), "parent", "profondeur", "ordre")
+    return nodes.select("rt", "noeud", "poids", r6("hauteur").alias("hauteur"), "parent", "profondeur", "ordre")
 
 
 def cluster_trees(f: Frames) -> DataFrame:
@@ -440,36 +429,71 @@ def fusion_runaways(f: Frames) -> DataFrame:
 
 
 def forest_cut(f: Frames) -> DataFrame:
-    return clustering.cut_forest(_trees(f), 0.5).select("lot", "rt", "noeud", "poids", "racine")
+    return clustering.cut_forest(_trees(f), 0.5).select("rt", "noeud", "poids", "racine")
 
 
 def tree_measures(f: Frames) -> DataFrame:
     return clustering.measures(_trees(f))
 
 
+def global_nodes(f: Frames) -> DataFrame:
+    """The nodes of all trees under ids that are unique over the forest."""
+    return clustering.global_ids(f.trees()).select("id", "rt", "noeud", "poids", "debut", "fin")
+
+
 def tree_predictions(f: Frames) -> DataFrame:
-    """Descent in the grown trees: the best answer of each example, and where it stopped."""
-    nodes = f.trees()
-    scores = f.once("scores des arbres", lambda: classify.node_scores(f.questions(), f.leaves(), nodes))
-    stops = classify.descend(scores, nodes)
-    return classify.stop_kind(classify.ranked(stops, "rt", "noeud").filter("rang = 1")).select("ex", F.col("rt").alias("predit"), "noeud", r6("score").alias("score"), "profondeur", "calculs", "nature")
+    """Descent in the trees of all relations: the best answer of each example, the second, and where it stopped."""
+    return classify.stop_kind(f.descended()).select("ex", "attendu", "predit", "noeud", r6("score").alias("score"), "second", r6("ecart").alias("ecart"), "serre", "profondeur", "poids", "calculs", "nature")
+
+
+def descent_paths(f: Frames) -> DataFrame:
+    """The nodes on the way of each winning descent, with their scores."""
+    each = f.descended().select("ex", "predit", F.posexplode(F.arrays_zip("chemin", "scores")).alias("profondeur", "x"))
+    return each.select("ex", "predit", "profondeur", F.col("x.chemin").alias("noeud"), r6("x.scores").alias("score"))
+
+
+def covered_phrases(f: Frames) -> DataFrame:
+    """The training phrases under the stop of each winning descent: how many, and the first of the corpus."""
+    stop = f.descended().select("ex", F.col("predit").alias("rt"), "noeud").join(f.trees().select("rt", "noeud", "ordre", "poids"), ["rt", "noeud"])
+    first = f.trees().filter("enfants is null").select("rt", F.col("noeud").alias("ordre"), F.col("ex").alias("feuille"))
+    phrases = f.train().select(F.col("ex").alias("feuille"), "syntagme")
+    return stop.join(first, ["rt", "ordre"]).join(phrases, "feuille").select("ex", "rt", "noeud", F.col("poids").alias("n_syntagmes"), F.col("syntagme").alias("exemple"))
+
+
+def stop_symbols(f: Frames) -> DataFrame:
+    """The five symbols of each side that an example shares with the node its descent stopped at, by their share there."""
+    stop = f.descended().select("ex", F.col("predit").alias("rt"), "noeud")
+    at = f.trees().join(stop.select("rt", "noeud").distinct(), ["rt", "noeud"], "left_semi")
+    profile = clustering.node_symbols(at, f.trees(), f.leaves()).join(at.select("rt", "noeud", F.col("poids").alias("n")), ["rt", "noeud"])
+    profile = profile.select("rt", "noeud", "cote", "symbole", r6(F.col("poids") / F.col("n")).alias("part"))
+    shared = f.questions().select("ex", "cote", "symbole").join(stop, "ex").join(profile, ["rt", "noeud", "cote", "symbole"])
+    w = Window.partitionBy("ex", "cote").orderBy(F.desc("part"), "symbole")
+    return shared.withColumn("rang", F.row_number().over(w)).filter("rang <= 5").select("ex", "cote", "symbole", "rang", "part")
 
 
 def descent_statistics(f: Frames) -> DataFrame:
-    leaves, nodes, scores = f.balanced()
-    s = evaluate.descent_statistics(classify.ranked(classify.descend(scores, nodes), "noeud", "rt").filter("rang = 1"))
-    return s.select("n", *[r6(c).alias(c) for c in ("part_feuilles", "part_racines", "part_internes", "profondeur_moyenne", "calculs_moyens")], "calculs_max")
+    sizes = f.trees().filter("enfants is null").groupBy(F.col("rt").alias("predit")).agg(F.count("*").alias("taille"))
+    s = evaluate.descent_statistics(f.descended().join(sizes, "predit"))
+    return s.select("n", *[r6(c).alias(c) for c in ("part_feuilles", "part_racines", "part_internes", "profondeur_moyenne", "calculs_moyens", "poids_relatif")], "calculs_max")
+
+
+def descent_depths(f: Frames) -> DataFrame:
+    """How many descents stop at each depth."""
+    return f.descended().groupBy("profondeur").agg(F.count("*").alias("n"))
+
+
+def deepest_descents(f: Frames) -> DataFrame:
+    """The three deepest descents of each predicted relation."""
+    w = Window.partitionBy("predit").orderBy(F.desc("profondeur"), F.desc("score"), "ex")
+    return f.descended().withColumn("rang", F.row_number().over(w)).filter("rang <= 3").select("predit", "rang", "ex", "noeud", "profondeur", r6("score").alias("score"))
 
 
 def best_node_oracle(f: Frames) -> DataFrame:
-    leaves, nodes, scores = f.balanced()
-    o = classify.best_node_oracle(classify.descend(scores, nodes), scores, nodes)
-    return o.groupBy("verdict", "niveau_commun").agg(F.count("*").alias("n"))
+    return classify.best_node_oracle(f.tree_answers()).groupBy("verdict", "niveau_commun").agg(F.count("*").alias("n"))
 
 
 def branch_directions(f: Frames) -> DataFrame:
-    leaves, nodes, scores = f.balanced()
-    return classify.branch_directions(classify.descend(scores, nodes), nodes)
+    return classify.branch_directions(f.tree_answers(), f.trees())
 
 
 # Evaluation --------------------------------------------------------------------------------------------------
@@ -606,9 +630,9 @@ def reproducibility(f: Frames) -> DataFrame:
 
 def queries() -> dict:
     here = globals()
-    skip = {"r6", "balanced_trees", "queries", "table"}
+    skip = {"r6", "queries", "table", "cut"}
     own = {n: q for n, q in here.items() if callable(q) and getattr(q, "__module__", "") == __name__ and n not in skip and n[0] != "_" and n != "Frames"}
-    own |= {n: _signature(c) for n, c in SIGNATURES.items()}
+    own |= {n: _signature(c) for n, c in SIGNATURES.items()} | BEST
 
     def bound(q):
         def run(spark: SparkSession, d: str) -> DataFrame:
