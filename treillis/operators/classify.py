@@ -167,15 +167,15 @@ def best_everywhere(answers: DataFrame, which: str = "tous") -> DataFrame:
     return top.select("ex", "x.*", "calculs")
 
 
-def winners(answers: DataFrame) -> DataFrame:
+def winners(answers: DataFrame, keys: tuple[str, ...] = ("ex",)) -> DataFrame:
     """The best answer of each question by descent in every tree (first rt, then node of equals), the second answer, the
     relative gap, and the evaluations over all trees."""
     order = F.struct(-F.col("score"), "rt", "noeud")
-    both = answers.groupBy("ex").agg(
-        F.min_by(F.struct("rt", *[c for c in stops(answers).columns if c not in ("ex", "rt", "calculs")]), order).alias("x"),
+    both = answers.groupBy(*keys).agg(
+        F.min_by(F.struct("rt", *[c for c in stops(answers).columns if c not in (*keys, "rt", "calculs")]), order).alias("x"),
         F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("m"), "rt"))).alias("_r"), F.sum("calculs").alias("calculs"),
     )
-    out = both.select("ex", F.col("x.rt").alias("predit"), *[f"x.{c}" for c in ("noeud", "score", "profondeur", "poids", "feuille", "chemin", "scores")], F.get("_r", F.lit(1)).alias("_s"), "calculs")
+    out = both.select(*keys, F.col("x.rt").alias("predit"), *[f"x.{c}" for c in ("noeud", "score", "profondeur", "poids", "feuille", "chemin", "scores")], F.get("_r", F.lit(1)).alias("_s"), "calculs")
     out = out.withColumn("second", F.col("_s.rt")).withColumn("score_second", -F.col("_s.m")).drop("_s")
     return out.withColumn("ecart", gap(F.col("score"), F.col("score_second"))).withColumn("serre", F.col("ecart") < TIGHT)
 

@@ -515,6 +515,37 @@ def confusion(f: Frames) -> DataFrame:
     return t.select(F.col("rt").alias("attendu")).crossJoin(t.select(F.col("rt").alias("predit"))).join(p, ["attendu", "predit"], "left").fillna(0, ["n"])  # types are few
 
 
+def tree_per_type(f: Frames) -> DataFrame:
+    """Precision, recall and F1 of each relation by descent in the trees."""
+    p = evaluate.per_type(f.descended(), f.types())
+    return p.select("rt", "n_attendus", "n_predits", "vrais", *[r6(c).alias(c) for c in ("precision", "rappel", "f1")])
+
+
+def tree_macro_f1(f: Frames) -> DataFrame:
+    m = evaluate.macro(f.descended(), f.types())
+    return m.select("n", "corrects", *[r6(c).alias(c) for c in ("precision", "rappel", "f1", "exactitude")])
+
+
+def tree_confusion(f: Frames) -> DataFrame:
+    return f.descended().groupBy("attendu", "predit").agg(F.count("*").alias("n"))
+
+
+def tree_error_causes(f: Frames) -> DataFrame:
+    e = evaluate.error_causes(f.descended(), f.asked(), evaluate.term_traits(f.records(), f.signature()))
+    return e.groupBy("cause").agg(F.count("*").alias("n"))
+
+
+def tree_abstention(f: Frames) -> DataFrame:
+    return evaluate.abstention(f.descended(), [0.1, 0.2, 0.3, 0.4, 0.5])
+
+
+def tree_changes(f: Frames) -> DataFrame:
+    """Examples that descent answers differently under the reference configuration."""
+    questions, leaves = f.questions(REFERENCE), f.leaves(REFERENCE)
+    other = classify.winners(classify.tree_answers(questions, leaves, cut(clustering.cluster(leaves)))).join(f.expected(), "ex")
+    return evaluate.changes(other, f.descended())
+
+
 def lenient_evaluation(f: Frames) -> DataFrame:
     return evaluate.lenient(classify.ranked(f.answers(), "rt"), f.expected())
 
@@ -578,10 +609,28 @@ def stratified_folds(f: Frames) -> DataFrame:
 
 
 def study_measures(f: Frames) -> DataFrame:
+    """Two configurations over five folds: descent in the trees of each fold's training rows."""
     m = crossval.study(f.train(), f.records(), [RETAINED, RETAINED.but(weighting="binaire")], [42])
+    return m.select("cle", "graine", "pli", *[r6(c).alias(c) for c in ("f1", "racine", "profondeur", "taille_mediane")], "internes")
+
+
+def study_idf(f: Frames) -> DataFrame:
+    """A configuration whose weights come from the training terms of each fold."""
+    m = crossval.study(f.train(), f.records(), [RETAINED.but(weighting="jdm_idf", trt="centile")], [42])
+    return m.select("cle", "graine", "pli", r6("f1").alias("f1"), "internes")
+
+
+def study_centroids(f: Frames) -> DataFrame:
+    m = crossval.centroid_measures(f.train(), f.records(), [RETAINED, RETAINED.but(weighting="binaire")], [42])
     return m.select("cle", "graine", "pli", r6("f1").alias("f1"))
 
 
+def staged_search(f: Frames) -> DataFrame:
+    """The configuration kept at each stage of the search, measured by nearest centroids."""
+    found = crossval.search(f.train(), f.records(), [42], measure=crossval.centroid_measures)
+    return f.spark.createDataFrame([(k, name, c.key, round(f1, 6)) for k, (name, c, f1) in enumerate(found)], "rang int, etape string, cle string, f1 double")
+
+
 def missing_tasks(f: Frames) -> DataFrame:
     m = f.measures()
     return store.missing_tasks(m.select("cle").distinct(), list(range(1, 9)), 5, m)
