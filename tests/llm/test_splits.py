@@ -51,9 +51,31 @@ def test_assignment_keeps_groups_and_shares(spark):
     for s, p in splits.SHARES.items():
         assert abs(shares[(True, None, s)] - p) < 0.02
         assert all(abs(v - p) < 0.04 for k, v in shares.items() if k[2] == s)
+    assert splits.assign(frame.limit(0), groups.limit(0), "id", "relation").count() == 0
     mixed = {tuple(r) for r in splits.spread(frame, groups, "id", "split").collect()}
     by = brute([(i, a) for i, a, *_ in rows])
     kinds = {}
     for i, _, _, s in rows:
         kinds.setdefault(by[i], set()).update({s} - {None})
     assert mixed == {(by[i], i) for i, *_ in rows if len(kinds[by[i]]) > 1}
+
+
+def test_only_touched_groups_move(spark):
+    rng = random.Random(6)
+    rows = [(i, f"t{rng.choice([rng.randrange(40), rng.randrange(900)])}", rng.choice("rs")) for i in range(1, 2_001)]
+    more = [(5_000 + i, f"t{rng.randrange(1_200)}", rng.choice("rs")) for i in range(150)]
+    first, second = (spark.createDataFrame(x, "id bigint, a string, relation string") for x in (rows, rows + more))
+    one, two = (splits.groups(f, "id", [F.col("a")]).cache() for f in (first, second))
+    weights = splits.fitted_weights(*splits._sizes(first, one, "id", "relation")).cache()
+    before, after = ({r["id"]: (r["groupe"], r["split_nouveau"]) for r in splits.assign(f, g, "id", "relation", weights=weights).collect()} for f, g in ((first, one), (second, two)))
+    touched = {after[i][0] for i, *_ in more}
+    assert all(after[i] == before[i] for i in before if after[i][0] not in touched)
+    assert {i: s for i, (_, s) in before.items()} == {r["id"]: r["split_nouveau"] for r in splits.assign(first, one, "id", "relation").collect()}
+
+
+def test_a_group_of_most_rows(spark):
+    rows = [(i, "hot" if i <= 400 else f"t{i}", "r") for i in range(1, 601)]
+    frame = spark.createDataFrame(rows, "id bigint, a string, relation string")
+    groups = splits.groups(frame, "id", [F.col("a")])
+    parts = {r["split_nouveau"]: r["part"] for r in splits.met_shares(frame, splits.assign(frame, groups, "id", "relation"), "id", "relation").filter("ensemble").collect()}
+    assert all(abs(parts[s] - p) < 0.04 for s, p in splits.SHARES.items())

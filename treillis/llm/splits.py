@@ -6,9 +6,11 @@ held by a third of all records is a star of which one edge a distinct partner is
 hash-to-min over pairs (node, member): each node sends its members to its smallest one and that one to its
 members, until nothing changes. Weighted rendezvous hashing then gives each group a split.
 
-Shares: a group that holds more than LARGE of all records would upset the shares; there are at most
-1 / LARGE such groups, and they go first, largest first, to the split that lacks most. The weights of the
-others are what is left to fill, by the relation most of a group's records have.
+Shares: every group is placed by the same rule, and its weights say what each split still lacks in the relation most of
+the group's records have. They are fitted by size class, the largest groups first, so that what large groups upset the
+small ones make up for. Over all rows the shares are met within the size of the smallest class that many groups are in; in a
+relation of n rows within three binomial deviations, 3 * sqrt(p * (1 - p) / n), and the rows that groups of another
+relation bring into it.
 
 Defined cases: empty and null terms link nothing; a record without terms is a group of its own; ties go to
 the first split in the given order; repeated rows need ids of their own; an empty table gives no rows.
@@ -21,7 +23,6 @@ from pyspark.sql import functions as F
 from treillis.session import cut
 
 SHARES = {"train": 0.7, "val": 0.1, "test": 0.2}
-LARGE = 0.001
 
 
 def hash_to_min(edges: DataFrame) -> DataFrame:
@@ -60,36 +61,59 @@ def spread(rows: DataFrame, group: DataFrame, key: str, split: str) -> DataFrame
     return with_group.join(mixed, "groupe", "left_semi").select("groupe", key)
 
 
-def assign(rows: DataFrame, group: DataFrame, key: str, stratum: str, shares: dict[str, float] = SHARES, seed: int = 0) -> DataFrame:
-    """``key``, ``groupe`` and ``split_nouveau`` of every row."""
-    names = list(shares)
+def _sizes(rows: DataFrame, group: DataFrame, key: str, stratum: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of each group by stratum (``groupe``, ``_s``, ``_n``), and of each group its stratum with most rows, its rows
+    there and the size class (power of two) of all its rows."""
     counts = cut(rows.select(key, F.coalesce(F.col(stratum), F.lit("")).alias("_s")).join(group, key).groupBy("groupe", "_s").agg(F.count("*").alias("_n")))
-    sizes = counts.groupBy("groupe").agg(F.sum("_n").alias("_t"), F.max_by("_s", F.struct("_n", "_s")).alias("_s"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    lacks = {s: share * total for s, share in shares.items()}
-    large = []
-    for g, n, s in sizes.filter(F.col("_t") > LARGE * total).orderBy(F.desc("_t"), "groupe").select("groupe", "_t", "_s").collect():  # at most 1 / LARGE rows
-        to = max(names, key=lambda x: (lacks[x], -names.index(x)))
-        lacks[to] -= n
-        large.append((g, to))
-    spark = rows.sparkSession
-    fixed = spark.createDataFrame(large, f"groupe {group.schema['groupe'].dataType.simpleString()}, _fixe string")
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("split"), F.lit(float(p)).alias("p")) for i, (s, p) in enumerate(shares.items())]))
-    taken = counts.join(F.broadcast(fixed), "groupe").groupBy(F.col("_s").alias("_ts"), F.col("_fixe").alias("_tf")).agg(F.sum("_n").alias("_pris"))
-    weights = (
-        counts.groupBy("_s").agg(F.sum("_n").alias("_ns")).select("_s", "_ns", each.alias("e"))
-        .join(taken, (F.col("_s") == F.col("_ts")) & (F.col("e.split") == F.col("_tf")), "left")
-        .select("_s", "e.i", "e.split", F.greatest(F.col("e.p") * F.col("_ns") - F.coalesce("_pris", F.lit(0)), F.lit(0.0)).alias("w"))
-        .groupBy("_s")
-        .agg(F.array_sort(F.collect_list(F.struct("i", "split", "w"))).alias("_w"))  # one entry a split
-    )
-    # Rendezvous: the split with the least -ln(hash) / weight; no weight left for any of them counts as the plain shares.
+    whole = counts.groupBy("groupe").agg(F.max(F.struct("_n", "_s")).alias("x"), F.floor(F.log2(F.sum("_n"))).cast("int").alias("_c"))
+    return counts, whole.select("groupe", "_c", "x._s", "x._n")
+
+
+def choose(groups: DataFrame, weights: DataFrame, shares: dict[str, float] = SHARES, seed: int = 0) -> DataFrame:
+    """``groupe`` and ``split_nouveau`` by weighted rendezvous hashing: the split with the least -ln(hash) / weight.
+
+    A group (groupe, _c, _s, _n) weighs a split by the room left for its class and stratum (``weights``: _c, _s, _w) once
+    it were in it. Where it fits nowhere, the splits with most room are left; a class or stratum without weights has the plain
+    shares. What a group gets depends on itself and the weights only, not on other groups."""
+    plain = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("split"), F.lit(float(p)).alias("w")) for i, (s, p) in enumerate(shares.items())])
     unit = lambda name: (F.shiftrightunsigned(F.xxhash64("groupe", name, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    open_ = F.filter("_w", lambda x: x["w"] > 0)
-    usable = F.when(F.size(open_) > 0, open_).otherwise(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("split"), F.lit(float(p)).alias("w")) for i, (s, p) in enumerate(shares.items())]))
-    chosen = F.array_min(F.transform(usable, lambda x: F.struct((-F.log(unit(x["split"])) / x["w"]).alias("c"), x["i"].alias("i"), x["split"].alias("split"))))["split"]
-    small = sizes.join(weights, "_s").join(F.broadcast(fixed), "groupe", "left").select("groupe", F.coalesce("_fixe", chosen).alias("split_nouveau"))
-    return group.join(small, "groupe").select(key, "groupe", "split_nouveau")
+    of = lambda x, w: F.struct(x["i"].alias("i"), x["split"].alias("split"), w.alias("w"))
+    fits = F.filter(F.transform("_w", lambda x: of(x, x["w"] - F.col("_n"))), lambda x: x["w"] > 0)
+    most = F.array_max(F.transform("_w", lambda x: x["w"]))
+    roomy = F.transform(F.filter("_w", lambda x: x["w"] == most), lambda x: of(x, F.lit(1.0)))
+    usable = F.when(F.col("_w").isNull(), plain).when(F.size(fits) > 0, fits).otherwise(roomy)
+    best = F.array_min(F.transform(usable, lambda x: F.struct((-F.log(unit(x["split"])) / x["w"]).alias("c"), x["i"].alias("i"), x["split"].alias("split"))))["split"]
+    return groups.join(weights, ["_c", "_s"], "left").select("groupe", best.alias("split_nouveau"))
+
+
+def fitted_weights(counts: DataFrame, sizes: DataFrame, shares: dict[str, float] = SHARES, seed: int = 0) -> DataFrame:
+    """The weights (_c, _s, _w) of every size class, largest first: the rows each split still lacks in a stratum after the groups
+    of all larger classes. A class is a power of two, so that there are few whatever the number of groups."""
+    total = counts.groupBy("_s").agg(F.sum("_n").alias("_ns"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("split"), F.lit(float(p)).alias("p")) for i, (s, p) in enumerate(shares.items())]))
+    left = cut(total.select("_s", "_ns", each.alias("e")).select("_s", "e.i", "e.split", (F.col("e.p") * F.col("_ns")).alias("w")))
+    classes = sorted((r[0] for r in sizes.select("_c").distinct().collect()), reverse=True)  # at most 64
+    out = None
+    for c in classes:
+        now = left.groupBy("_s").agg(F.array_sort(F.collect_list(F.struct("i", "split", "w"))).alias("_w")).select(F.lit(c).alias("_c"), "_s", "_w")  # an entry a split
+        out = now if out is None else out.union(now)
+        if c == classes[-1]:
+            break
+        here = choose(sizes.filter(F.col("_c") == c), now, shares, seed)
+        taken = counts.join(here, "groupe").groupBy("_s", F.col("split_nouveau").alias("split")).agg(F.sum("_n").alias("_t"))
+        left = cut(left.join(taken, ["_s", "split"], "left").select("_s", "i", "split", (F.col("w") - F.coalesce("_t", F.lit(0))).alias("w")))
+    return out if out is not None else left.select(F.lit(0).alias("_c"), "_s", F.array(F.struct("i", "split", "w")).alias("_w"))
+
+
+def assign(rows: DataFrame, group: DataFrame, key: str, stratum: str, shares: dict[str, float] = SHARES, seed: int = 0, weights: DataFrame | None = None) -> DataFrame:
+    """``key``, ``groupe`` and ``split_nouveau`` of every row.
+
+    With the ``weights`` of an earlier run only groups that gained rows may move."""
+    counts, sizes = _sizes(rows, group, key, stratum)
+    sizes = cut(sizes)
+    if weights is None:
+        weights = fitted_weights(counts, sizes, shares, seed)
+    return group.join(choose(sizes, weights, shares, seed), "groupe").select(key, "groupe", "split_nouveau")
 
 
 def met_shares(rows: DataFrame, assigned: DataFrame, key: str, stratum: str) -> DataFrame:
