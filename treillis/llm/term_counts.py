@@ -6,8 +6,8 @@ A full trie is sent on as rows of containers and begun anew, so that a task's me
 sizes of the containers, summed by prefix over all tasks, say which prefixes are heavy; a value's route is
 its shortest prefix that isn't. There are few heavy prefixes whatever the number of values (those with
 more than 1 / ROUTES of all entries, at most ROUTES at each depth), so they go to every task. Matching
-subtrees of all tasks meet by route, each of bounded size, and are summed; a value held by every record is
-one entry a task by then.
+subtrees of all tasks meet by route, each of bounded size, and are merged into one trie, container by container; a
+value held by every record is one entry a task by then.
 
 Defined cases: null values and null or empty arrays count nothing, the empty text is a value; values are
 compared character for character; a value in several entries of a record counts once in its records; with
@@ -66,6 +66,29 @@ class BurstTrie:
         count[0] += occurrences
         count[1] += records
 
+    def graft(self, prefix: str, suffixes: list[str], occurrences: list[int], records: list[int]) -> None:
+        """Merges a container of another trie into the subtree at its prefix."""
+        node = self.root
+        for i, letter in enumerate(prefix):
+            kid = node[0].get(letter)
+            if type(kid) is list:
+                node = kid
+                continue
+            rest, kid = prefix[i + 1 :], node[0].setdefault(letter, {})
+            before = len(kid)
+            for s, o, r in zip(suffixes, occurrences, records):
+                count = kid.setdefault(rest + s, [0, 0])
+                count[0] += o
+                count[1] += r
+            self.entries += len(kid) - before
+            if len(kid) > BURST:
+                node[0][letter] = self._burst(kid)
+            return
+        whole, self.root = self.root, node  # the prefix ends at a node: go on below it
+        for s, o, r in zip(suffixes, occurrences, records):
+            self.add(s, o, r)
+        self.root = whole
+
     @staticmethod
     def _burst(container: dict[str, list[int]]) -> list:
         node: list = [{}, container.pop("", None)]
@@ -142,7 +165,7 @@ def counts(values: DataFrame) -> DataFrame:
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for trait, prefix, suffixes, occurrences, records in zip(*(c.to_pylist() for c in b.columns)):
                 over = sent.value.get(trait, ())
                 n = next((n for n in range(len(prefix) + 1) if prefix[:n] not in over), None)
@@ -155,17 +178,21 @@ def counts(values: DataFrame) -> DataFrame:
                         to = next((term[:n] for n in range(len(prefix) + 1, min(len(term), DEPTH + 1) + 1) if term[:n] not in over), term)
                         for x, v in zip(parts.setdefault(to, ([], [], [])), (s, o, r)):
                             x.append(v)
-                for to, (s, o, r) in parts.items():
-                    for c, v in zip(out, (trait, to, [prefix + x for x in s], o, r)):
+                for to, part in parts.items():
+                    for c, v in zip(out, (trait, to, prefix, *part)):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int64()))], names=["trait", "route", "termes", "occurrences", "fiches"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in out[:3]), pa.array(out[3], pa.list_(pa.string())), *(pa.array(c, pa.list_(pa.int64())) for c in out[4:])], names=["trait", "route", "prefixe", "suffixes", "occurrences", "fiches"])
 
     def merged(part: pa.Table) -> pa.Table:
-        flat = pa.table({"symbole": pc.list_flatten(part["termes"]), "o": pc.list_flatten(part["occurrences"]), "r": pc.list_flatten(part["fiches"])})
-        flat = flat.group_by("symbole").aggregate([("o", "sum"), ("r", "sum")])
-        return pa.table({"trait": pa.repeat(part["trait"][0], len(flat)), "symbole": flat["symbole"], "n_occurrences": flat["o_sum"], "n_fiches": flat["r_sum"]})
-
-    routed = tries.mapInArrow(route, "trait string, route string, termes array<string>, occurrences array<bigint>, fiches array<bigint>")
+        """The subtrees of one route, of all tasks, as one trie, and its terms."""
+        trie = BurstTrie()
+        for row in zip(*(part[c].to_pylist() for c in ("prefixe", "suffixes", "occurrences", "fiches"))):
+            trie.graft(*row)
+        terms = [(prefix + s, o, r) for prefix, container in trie.containers() for s, (o, r) in container.items()]
+        symbol, o, r = (list(c) for c in zip(*terms)) if terms else ([], [], [])
+        return pa.table({"trait": pa.repeat(part["trait"][0], len(symbol)), "symbole": pa.array(symbol, pa.string()), "n_occurrences": pa.array(o, pa.int64()), "n_fiches": pa.array(r, pa.int64())})
+
+    routed = tries.mapInArrow(route, "trait string, route string, prefixe string, suffixes array<string>, occurrences array<bigint>, fiches array<bigint>")
     return routed.groupBy("trait", "route").applyInArrow(merged, "trait string, symbole string, n_occurrences bigint, n_fiches bigint")
 
 
