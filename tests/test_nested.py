@@ -31,6 +31,29 @@ def test_children_and_tables(spark):
     assert nested.all_children(loaded.limit(0), raw.limit(0)).count() == 0
 
 
+def test_places_are_the_keys_of_the_tables(spark):
+    raw = spark.createDataFrame(list(enumerate(lines(), 100)), "enr_id bigint, brut string")
+    loaded = spark.createDataFrame([(1, "a", [("x", 1.0), None], None, ("r", [("y", 2.0)]), None)], LOADED)
+    for records in nested.collected(loaded, raw):
+        tables = nested.flatten(records, "enr_id")
+        want = sorted((r["enr_id"], path, r["parent"], r["rang"]) for path, t in tables.items() if path for r in t.collect())
+        assert sorted(tuple(r) for r in nested.child_places(records, "enr_id").collect()) == want
+    bare = spark.createDataFrame([(1, "a")], "enr_id bigint, terme string")
+    assert nested.child_places(bare, "enr_id").count() == 0
+
+
+def test_objects_keyed_by_data(spark, monkeypatch):
+    monkeypatch.setattr(nested, "WIDE", 5)
+    rows = [(k, json.dumps({"terme": "t", "H": [{"nom": "a"}], "index": {f"mot{k}": {"n": [k]}}})) for k in range(9)]
+    raw = spark.createDataFrame(rows, "enr_id bigint, brut string")
+    shapes = nested.infer(raw, "brut", "terme")
+    assert nested.merged_schema(shapes).simpleString() == "struct<H:array<struct<nom:string>>,index:string,terme:string>"
+    loaded = spark.createDataFrame([], LOADED)
+    _, read = nested.collected(loaded, raw)
+    assert {r["index"] for r in read.collect()} == {json.dumps({f"mot{k}": {"n": [k]}}) for k in range(9)}
+    assert nested.all_children(loaded, raw).count() == 9
+
+
 def test_merged_schema():
     shapes = {"": {"object"}, "\x1fa": {"array", "object"}, "\x1fa\x1f": {"object", "null"}, "\x1fa\x1f\x1fn": {"bigint"}, "\x1fa\x1fn": {"double"}, "\x1fb": {"text", "bigint"}, "\x1fc": {"null"}}
     assert nested.merged_schema(shapes).simpleString() == "struct<a:array<struct<n:double>>,b:string,c:string>"

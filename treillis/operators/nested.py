@@ -8,6 +8,7 @@ and its own place.
 
 Defined cases: a byte order mark before a record is ignored; a line that isn't complete JSON or has no
 object with the identifying field has no children; null entries are counted in the places and give no row;
+an object of more than WIDE names is a text;
 a text that isn't JSON in place of an array or object counts as missing; repeated names in an object: the last counts;
 columns other than those named are not read.
 """
@@ -24,8 +25,9 @@ from pyspark.sql import types as T
 
 from treillis.session import bound_arrow_batches
 
-#: Most paths a merged schema may have; beyond it the input isn't records of one kind.
-MOST_PATHS = 10_000
+#: Most paths a merged schema may have, and most names an object may have over all records: an object with more is keyed
+#: by data, not by fields, and stays one value, as the JSON text of it.
+MOST_PATHS, WIDE = 10_000, 1_000
 
 
 def _parsed(text: str):
@@ -64,17 +66,34 @@ def _shape(value) -> str:
     return {bool: "boolean", int: "bigint", float: "double", list: "array", dict: "object", type(None): "null"}[type(value)]
 
 
-def _shapes(value, path: str, out: set[tuple[str, str]]) -> None:
+def _shapes(value, path: str, out: dict[str, set[str]], names: dict[str, set[str]]) -> None:
+    """Adds the shapes at each path to ``out`` and the names of each object to ``names``; of a wide object its shape only."""
     shape = _shape(value)
-    out.add((path, shape))
+    out.setdefault(path, set()).add(shape)
     if shape.startswith("held "):
         value = _parsed(value)
     if isinstance(value, dict):
-        for k, v in value.items():
-            _shapes(v, f"{path}\x1f{k}", out)
+        mine = names.setdefault(path, set())
+        if len(mine) <= WIDE:
+            mine.update(value)
+        if len(mine) <= WIDE:
+            for k, v in value.items():
+                _shapes(v, f"{path}\x1f{k}", out, names)
     elif isinstance(value, list):
         for v in value:
-            _shapes(v, path + "\x1f", out)
+            _shapes(v, path + "\x1f", out, names)
+
+
+def _narrowed(shapes: dict[str, set[str]]) -> dict[str, set[str]]:
+    """The shapes without what lies below wide objects, which become texts."""
+    names: dict[str, set[str]] = {}
+    for path in shapes:
+        up, _, name = path.rpartition("\x1f")
+        if name and path:
+            names.setdefault(up, set()).add(name)
+    wide = {p for p, n in names.items() if len(n) > WIDE} | {p for p, s in shapes.items() if "wide" in s}
+    under = lambda p: any(p[:k] in wide for k in range(len(p)) if p[k] == "\x1f")
+    return {p: ({"text"} if p in wide else s) for p, s in shapes.items() if not under(p)}
 
 
 def infer(lines: DataFrame, column: str, field: str) -> dict[str, set[str]]:
@@ -82,15 +101,19 @@ def infer(lines: DataFrame, column: str, field: str) -> dict[str, set[str]]:
     bound_arrow_batches(lines.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, str]] = set()
+        seen: dict[str, set[str]] = {}
+        names: dict[str, set[str]] = {}
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 record = locate(text, field)
                 if record is not None:
-                    _shapes(record, "", seen)
-            if len(seen) > 8 * MOST_PATHS:
-                raise ValueError("the records have too many paths for one schema")
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen], pa.string()), pa.array([s for _, s in seen], pa.string())], names=["chemin", "forme"])
+                    _shapes(record, "", seen, names)
+            for path in [p for p, n in names.items() if len(n) > WIDE]:
+                seen[path].add("wide")
+                for p in [p for p in seen if p.startswith(path + "\x1f")]:
+                    del seen[p]
+        rows = [(p, s) for p, shapes in seen.items() for s in shapes]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([s for _, s in rows], pa.string())], names=["chemin", "forme"])
 
     rows = lines.select(column).mapInArrow(run, "chemin string, forme string").distinct().limit(8 * MOST_PATHS + 1).collect()
     if len(rows) > 8 * MOST_PATHS:
@@ -98,7 +121,7 @@ def infer(lines: DataFrame, column: str, field: str) -> dict[str, set[str]]:
     shapes: dict[str, set[str]] = {}
     for path, shape in rows:
         shapes.setdefault(path, set()).add(shape)
-    return shapes
+    return _narrowed(shapes)
 
 
 def merged_schema(shapes: dict[str, set[str]], path: str = "") -> T.DataType:
@@ -228,16 +251,33 @@ def flatten(records: DataFrame, key: str) -> dict[str, DataFrame]:
     return tables
 
 
-def children(records: DataFrame, key: str, paths: list[str]) -> DataFrame:
-    """``key``, ``tableau`` (path) and ``rang`` of each non-null entry of the named arrays, in one pass."""
-    of = dict(child_arrays(records.schema, (key,)))
-    lists = F.array(*[F.struct(F.lit(p).alias("tableau"), F.transform(of[p], lambda e: e.isNotNull()).alias("l")) for p in paths if p in of])
-    return (
-        records.select(key, F.explode(lists).alias("x"))
-        .select(key, "x.tableau", F.posexplode("x.l").alias("rang", "_la"))
-        .filter("_la")
-        .select(key, "tableau", "rang")
-    )
+def child_places(records: DataFrame, key: str) -> DataFrame:
+    """``key``, ``tableau`` (path), ``parent`` (the places on the way down) and ``rang`` of each child of every level, in one pass.
+
+    The arrays are those of the merged schema, walked as flatten() does; these are the keys of its child tables."""
+    place = "struct<tableau:string, parent:array<int>, rang:int>"
+
+    def below(path: str, column: Column, kind: T.ArrayType, parent: Column) -> list[Column]:
+        own = F.transform(column, lambda e, i: F.when(e.isNotNull(), F.struct(F.lit(path).alias("tableau"), parent.alias("parent"), i.alias("rang"))))
+        out = [F.coalesce(own.cast(f"array<{place}>"), F.array().cast(f"array<{place}>"))]
+
+        def fields(k: T.DataType, name: str, of) -> None:
+            if isinstance(k, T.StructType):
+                for f in k.fields:
+                    fields(f.dataType, f"{name}.{f.name}", lambda e, of=of, f=f: of(e).getField(f.name))
+            elif isinstance(k, T.ArrayType):
+                inner = F.transform(column, lambda e, i: F.concat(*below(f"{path}{name or '[]'}", of(e), k, F.concat(parent, F.array(i)))))
+                out.append(F.coalesce(F.flatten(inner), F.array().cast(f"array<{place}>")))
+
+        fields(kind.elementType, "", lambda e: e)
+        return out
+
+    every: list[Column] = []
+    for path, column in child_arrays(records.schema, (key,)):
+        every += below(path, column, records.select(column.alias("x")).schema["x"].dataType, F.array().cast("array<int>"))
+    if not every:
+        return records.select(key, F.lit("").alias("tableau"), F.array().cast("array<int>").alias("parent"), F.lit(0).alias("rang")).limit(0)
+    return records.select(key, F.explode(F.concat(*every)).alias("x")).filter("x is not null").select(key, "x.tableau", "x.parent", "x.rang")
 
 
 #: The arrays of a collected record.
@@ -253,8 +293,9 @@ def collected(loaded: DataFrame, lines: DataFrame, key: str = "enr_id", column:
 
 
 def all_children(loaded: DataFrame, lines: DataFrame) -> DataFrame:
-    """The children of loaded and raw records."""
-    return reduce(DataFrame.union, [children(r, "enr_id", RECORD_ARRAYS) for r in collected(loaded, lines)])
+    """The children of loaded and raw records that stand in the arrays of a collected record."""
+    places = [child_places(r, "enr_id").filter(F.col("tableau").isin(RECORD_ARRAYS)) for r in collected(loaded, lines)]
+    return reduce(DataFrame.union, places).select("enr_id", "tableau", "rang")
 
 
 def all_tables(loaded: DataFrame, lines: DataFrame) -> dict[str, DataFrame]:
