@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -38,3 +39,20 @@ def test_fast_pattern_is_safe(spark):
     fast = spark.createDataFrame(texts, "t string").filter(F.col("t").rlike(canonical.stable_pattern())).collect()
     assert len(fast) > 8000
     assert all(canonical.consistent_text(t) == t for (t,) in fast)
+
+
+def test_segments_leave_nothing_unstable():
+    properties = canonical._properties()
+    rng = random.Random(11)
+    unstable = sorted(c for c in properties.unstable if not 0xD800 <= c <= 0xDFFF)
+    marks = [c for c in unstable if unicodedata.combining(chr(c))]
+    base = [*map(ord, "aeiouAé ñqﬁ가각\tх"), 0x1100, 0x1161, 0x11A8, 0x200B, 0xAD, 0xA0, 0xFF41, 0x3099, 0x30AB]
+    for _ in range(5_000):
+        text = "".join(chr(rng.choice((rng.choice(base), rng.choice(unstable), rng.choice(marks)))) for _ in range(rng.randrange(1, 8)))
+        out = canonical.consistent_text(text)
+        assert unicodedata.is_normalized("NFC", out) and canonical.consistent_text(out) == out
+
+
+def test_look_alikes_of_many_scripts():
+    assert canonical.consistent_text("сanal cꓳpie Ꭺrbre pօmme") == "canal cOpie Arbre pomme"
+    assert canonical.consistent_text("ꓐꓳ Ꭺ հայ") == "ꓐꓳ Ꭺ հայ"

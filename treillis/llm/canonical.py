@@ -39,6 +39,9 @@ LOOK_ALIKE = {
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ԝ": "W", "Х": "X", "У": "Y",
     "α": "a", "ι": "i", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "ϲ": "c", "ϳ": "j",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
+    "զ": "q", "հ": "h", "ո": "n", "ս": "u", "ց": "g", "օ": "o", "Լ": "L", "Ս": "U", "Տ": "S", "Օ": "O",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
 }
 #: Kinds of compatibility decomposition that give another form or width of the same character, of any
 #: character and of letters only.
@@ -117,8 +120,6 @@ def consistent_text(text: str) -> str:
     simple, alike = _properties().simple, _properties().alike
     if segment.search(text):
         text = segment.sub(lambda m: unicodedata.normalize("NFC", m.group().translate(simple)), text)
-        if not unicodedata.is_normalized("NFC", text):  # a mark left alone by what was taken out before it
-            text = unicodedata.normalize("NFC", text)
     if foreign.search(text):
         def latinised(m):
             w = m.group()
