@@ -62,7 +62,7 @@ def test_near_against_brute_force():
 
 
 def test_pairs_and_report(spark, monkeypatch):
-    monkeypatch.setattr(so, "SHARD", 200), monkeypatch.setattr(so, "STREAM", 20), monkeypatch.setattr(so, "BAND", 4)
+    monkeypatch.setattr(so, "SHARD", 200), monkeypatch.setattr(so, "STREAM", 20), monkeypatch.setattr(so, "SHORT", 6)
     rng = random.Random(6)
     texts = words(rng, 150)
     rows = [(i, rng.choice([None, *texts, *texts]), rng.choice([None, "", "a1", "a2", "ａ1"]), rng.choice(["b1", "b2", ""]), rng.choice(["train", "val", "test", None])) for i in range(200)]
@@ -82,3 +82,16 @@ def test_pairs_and_report(spark, monkeypatch):
     for s in ("val", "test"):
         assert report[s][1] == len({j for _, j in want if ready[j][3] == s})
     assert so.SplitOverlap(frame.limit(0), "id", "syntagme", ("A", "B"), "split").pairs(("a", "b")).count() == 0
+
+
+def test_segments_lose_no_pair(spark):
+    """Texts of few letters, so that segments and their shifts repeat: every near pair shares a segment or what is left of both."""
+    rng = random.Random(12)
+    texts = {"".join(rng.choice("ab") for _ in range(rng.randrange(19))) for _ in range(150)} | {"a" * n for n in range(20)}
+    texts |= {edited(rng, t, 2)[:18].replace("é", "a") for t in list(texts)}
+    texts = sorted({" ".join(t.split()) for t in texts})
+    rows = [(k, t, None, None, rng.choice(["train", "test"])) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "id bigint, syntagme string, A string, B string, split string")
+    got = {(r["texte_a"], r["texte_b"]) for r in so.SplitOverlap(frame, "id", "syntagme", ("A", "B"), "split").text_pairs().collect()}
+    a, b = ([t for _, t, _, _, s in rows if s == side] for side in ("train", "test"))
+    assert got == {(x, y) for x in a for y in b if abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2}

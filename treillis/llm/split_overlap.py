@@ -1,21 +1,26 @@
 """Problem 6: records of the evaluation splits that also stand, the same or nearly so, in training.
 
-The evaluation texts are indexed in shards (compressed full-text indexes) by length; the training texts are
-streamed through the shards of fitting length by backward search. Each is cut from its end into matches,
-each as long as it still has more than a few places; a text within EDITS edits of it holds one of
-EDITS + 1 disjoint matches unchanged at nearly the same place. The places are merged to candidate pairs,
-and those are confirmed with a banded edit distance. Pairs of fields that must be equal are searched whole,
-between separators. Equal texts are searched once and their records joined at the end.
+A text within EDITS edits of another holds one of its EDITS + 1 even segments unchanged, near the segment's place. The
+evaluation texts go to shards by their segments, and a training text only to the shards that have a segment it may
+hold, a fixed number whatever the size of the tables. A task builds the compressed full-text index of a shard once and
+streams the training texts through it by backward search: each is cut from its end into matches, each as long as it
+still has more than a few places; a text within EDITS edits holds one of EDITS + 1 disjoint matches unchanged at nearly
+the same place. The places are merged to candidate pairs, and those are confirmed with a banded edit distance. (Matches
+of the greatest length would miss pairs whose shared part is longer elsewhere, so they end where few places are
+left.) Pairs of fields that must be equal are searched whole, between separators. Texts too short for segments meet by
+what is left of them without up to EDITS letters. Equal texts are searched once and their records joined at the end.
 
 Where a frequent part makes too many places, the matches grow beyond it into rarer letters; only if a text
 has too few rare letters for EDITS + 1 matches, more places are allowed (four times as many each time), so
-that no pair is lost.
+that no pair is lost. A segment of so many texts that they exceed a shard has shards of its own.
 
 Defined cases: null texts have no pair; the empty text is compared like any other; rows of no split, and
 empty or null fields of the pair condition, match nothing; texts of any length are compared whole.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,9 +31,9 @@ from treillis.llm.fm_index import FmIndex
 from treillis.session import bound_arrow_batches, cut
 
 EDITS = 2
-#: Places a match may have at first, code points of a shard, width of a band of lengths, and training
-#: texts in a task.
-PLACES, SHARD, BAND, STREAM = 8, 400_000, 8, 100_000
+#: Places a match may have at first, code points of a shard, training texts that one index serves, texts below that have
+#: no segments, and pairs compared at once.
+PLACES, SHARD, STREAM, SHORT, AT_ONCE = 8, 400_000, 100_000, 12, 50_000
 TEXT, PAIR = "texte", "paire"
 
 
@@ -108,21 +113,21 @@ def near(index: FmIndex, texts: list[str], targets: list[str]) -> tuple[np.ndarr
     left, places = np.arange(len(texts)), PLACES
     while len(left):
         if places >= index.n:  # fewer letters than matches: every target of fitting length is a candidate
-            x = np.repeat(left, len(targets))
-            y = np.tile(np.arange(len(targets)), len(left))
-        else:
-            row, start, low, high, few = matches(index, rows[left], lengths[left], EDITS + 1, places)
-            which, y, place = index.ranges_to_places(low, high)
-            x = left[row[which]]
-            close = np.abs(place - start[which]) <= EDITS
-            x, y = x[close], y[close]
+            for text in left.tolist():
+                for y in np.array_split(np.flatnonzero(np.abs(lengths[text] - 2 - index.lengths) <= EDITS), -(-len(targets) // AT_ONCE)):
+                    x = np.full(len(y), text)
+                    found.append(text * len(targets) + y[within(rows[x, 1:], lengths[x] - 2, target_rows[y], index.lengths[y])])
+            break
+        row, start, low, high, few = matches(index, rows[left], lengths[left], EDITS + 1, places)
+        which, y, place = index.ranges_to_places(low, high)
+        x = left[row[which]]
+        close = np.abs(place - start[which]) <= EDITS
+        x, y = x[close], y[close]
         fits = np.abs(lengths[x] - 2 - index.lengths[y]) <= EDITS
         pair = np.unique(x[fits] * len(targets) + y[fits])
-        for part in np.array_split(pair, -(-len(pair) // 50_000) or 1):
+        for part in np.array_split(pair, -(-len(pair) // AT_ONCE) or 1):
             x, y = part // len(targets), part % len(targets)
             found.append(part[within(rows[x, 1:], lengths[x] - 2, target_rows[y], index.lengths[y])])
-        if places >= index.n:
-            break
         left, places = left[few], places * 4
     pair = np.concatenate(found) if found else np.zeros(0, np.int64)
     return pair // max(1, len(targets)), pair % max(1, len(targets))
@@ -142,16 +147,63 @@ def equal(index: FmIndex, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return which, y + 0
 
 
-def _search(left: pa.Table, right: pa.Table) -> pa.Table:
-    """One shard: the training texts of the task against the evaluation texts of the shard."""
-    names = ["champ", "texte_a", "texte_b"]
-    if not len(left) or not len(right):
-        return pa.table({c: pa.array([], pa.string()) for c in names})
-    field = left["champ"][0].as_py()
-    texts, targets = left["texte"].to_pylist(), right["texte_b"].to_pylist()
-    index = FmIndex(targets)
-    x, y = near(index, texts, targets) if field == TEXT else equal(index, texts)
-    return pa.table({"champ": pa.repeat(pa.scalar(field), len(x)), "texte_a": left["texte"].combine_chunks().take(pa.array(x)), "texte_b": right["texte_b"].combine_chunks().take(pa.array(y))})
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards one after the other, each with its evaluation texts (``cote`` b) first, then its training texts."""
+    shard, targets, index = None, [], None
+    for batch in batches:
+        keys = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
+        sides = batch.column(4).to_pylist()
+        ends = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1] or sides[k] != sides[k - 1]]
+        for a, b in zip([0, *ends], [*ends, len(keys)]):
+            if not len(keys):
+                continue
+            if keys[a] != shard:
+                shard, targets, index = keys[a], [], None
+            texts = batch.column(5).slice(a, b - a)
+            if sides[a] == 0:
+                targets += texts.to_pylist()
+                continue
+            if not targets:
+                continue
+            index = index or FmIndex(targets)
+            x, y = near(index, texts.to_pylist(), targets) if shard[0] == TEXT else equal(index, texts.to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(shard[0]), len(x)), texts.take(pa.array(x)), pa.array([targets[k] for k in y.tolist()], pa.string())], names=["champ", "texte_a", "texte_b"])
+
+
+def _bound(length: Column, k: int) -> Column:
+    """Where segment k of a text begins."""
+    return F.floor(length * k / (EDITS + 1)).cast("int")
+
+
+def segments(text: Column, length: Column) -> Column:
+    """Digests of the EDITS + 1 even segments of a text, with its length and the segment's number."""
+    cut_ = lambda k: F.substring(text, _bound(length, k) + 1, _bound(length, k + 1) - _bound(length, k))
+    return F.array(*[F.xxhash64(F.lit(TEXT), length, F.lit(k), cut_(k)) for k in range(EDITS + 1)])
+
+
+def held_segments(text: Column, length: Column) -> Column:
+    """Digests of the segments that a text within EDITS edits may share with this one.
+
+    With d letters more than the other, segment k may stand up to k places off its place, and up to EDITS - k places off
+    where it would be if all d letters came before it; one unchanged segment is within both."""
+    out = []
+    for d in range(-EDITS, EDITS + 1):
+        other = length - d
+        for k in range(EDITS + 1):
+            size = _bound(other, k + 1) - _bound(other, k)
+            for off in range(max(-k, d - (EDITS - k)), min(k, d + (EDITS - k)) + 1):
+                at = _bound(other, k) + off
+                fits = (other >= SHORT) & (at >= 0) & (at + size <= length)
+                out.append(F.when(fits, F.xxhash64(F.lit(TEXT), other, F.lit(k), F.substring(text, at + 1, size))))
+    return F.array_distinct(F.array_compact(F.array(*out)))
+
+
+def shortened(text: Column, length: Column) -> Column:
+    """What is left of a text without up to two letters (EDITS)."""
+    left = lambda i, j: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, j - i - 1), F.substring(text, j + 1, length))
+    places = lambda i: F.sequence(i, length)
+    both = F.flatten(F.transform(places(F.lit(1)), lambda i: F.transform(places(i), lambda j: left(i, j))))
+    return F.array_distinct(F.concat(F.array(text), F.when(length > 0, both).otherwise(F.array().cast("array<string>"))))
 
 
 class SplitOverlap:
@@ -172,22 +224,36 @@ class SplitOverlap:
 
     def text_pairs(self) -> DataFrame:
         """``champ``, ``texte_a`` (training) and ``texte_b`` (evaluation) of every match between different rows' texts."""
-        texts = cut(self.members.groupBy("champ", "cote", "texte").agg(F.count("*").alias("n")).select("champ", "cote", "texte", F.length("texte").alias("l")))
-        band = lambda n: F.floor(n / BAND).cast("int")
-        evals = texts.filter("cote = 'b'").withColumn("bande", band(F.col("l")))
-        sizes = evals.groupBy("champ", "bande").agg(F.ceil(F.sum(F.col("l") + 1) / SHARD).cast("int").alias("eclats"))
-        reach = F.when(F.col("champ") == TEXT, EDITS).otherwise(0)
-        trains = texts.filter("cote = 'a'").select("champ", "texte", F.explode(F.sequence(band(F.greatest(F.col("l") - reach, F.lit(0))), band(F.col("l") + reach))).alias("bande"))
-        counts = trains.groupBy("champ", "bande").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("trains"))
-        plan = cut(sizes.join(counts, ["champ", "bande"]))
+        texts = cut(self.members.select("champ", "cote", "texte").distinct().withColumn("l", F.length("texte")))
+        text, l = F.col("texte"), F.col("l")  # noqa: E741
+        trains, evals = texts.filter("cote = 'a'"), texts.filter("cote = 'b'")
+        whole = F.array(F.xxhash64("champ", "texte"))
+        none = F.array().cast("array<bigint>")
+        of_eval = F.when(F.col("champ") != TEXT, whole).when(l >= SHORT, segments(text, l)).otherwise(none)
+        of_train = F.when(F.col("champ") != TEXT, whole).when(l >= SHORT - EDITS, held_segments(text, l)).otherwise(none)
+        own = cut(evals.select("champ", "texte", "l", F.explode(of_eval).alias("cle")))
+        sizes = own.groupBy("champ", "cle").agg(F.sum(l + 1).alias("lettres"))
+        held = trains.select("champ", "texte", F.explode(of_train).alias("cle")).join(sizes.select("champ", "cle"), ["champ", "cle"], "left_semi")
+        held = cut(held)
+        asked = held.groupBy("champ", "cle").agg(F.count("*").alias("demandes"))
+        totals = sizes.join(asked, ["champ", "cle"]).agg(F.coalesce(F.sum("lettres"), F.lit(0)).alias("x"), F.coalesce(F.sum("demandes"), F.lit(0)).alias("y")).first()
+        shards = max(1, -(-totals["x"] // SHARD), -(-totals["y"] // STREAM))
+        parts, streams = F.ceil(F.col("lettres") / SHARD).cast("int"), F.ceil(F.col("demandes") / STREAM).cast("int")
+        plan = cut(
+            sizes.join(asked, ["champ", "cle"]).withColumn("parts", parts).withColumn("flux", streams)
+            .withColumn("eclat", F.when((F.col("parts") > 1) | (F.col("flux") > 1), F.col("cle")).otherwise(F.pmod("cle", F.lit(shards))))
+            .select("champ", "cle", "eclat", "parts", "flux")
+        )
         number = lambda of: F.pmod(F.xxhash64("texte"), F.col(of)).cast("int")
         every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-        right = evals.join(plan, ["champ", "bande"]).withColumn("eclat", number("eclats")).withColumn("train", every("trains"))
-        left = trains.join(plan, ["champ", "bande"]).withColumn("train", number("trains")).withColumn("eclat", every("eclats"))
-        keys, cols = ["champ", "bande", "eclat", "train"], ["champ", "bande", "eclat", "train", "texte"]
-        right = right.select(cols).toDF(*[f"{c}_b" for c in cols])  # both sides come from one table
-        found = left.select(cols).groupBy(keys).cogroup(right.groupBy([f"{c}_b" for c in keys])).applyInArrow(_search, "champ string, texte_a string, texte_b string")
-        return cut(found)
+        shard = ["champ", "eclat", "part", "flux", "cote", "texte"]
+        right = own.join(plan, ["champ", "cle"]).withColumn("part", number("parts")).withColumn("_f", every("flux")).select("champ", "eclat", "part", F.col("_f").alias("flux"), F.lit(0).alias("cote"), "texte")
+        left = held.join(plan, ["champ", "cle"]).withColumn("_f", number("flux")).withColumn("part", every("parts")).select("champ", "eclat", "part", F.col("_f").alias("flux"), F.lit(1).alias("cote"), "texte")
+        rows = right.union(left).distinct().repartition(*shard[:4]).sortWithinPartitions(*shard[:5])
+        found = rows.select(*shard).mapInArrow(_search, "champ string, texte_a string, texte_b string")
+        brief = lambda t, n, name: t.filter((F.col("champ") == TEXT) & (l < n)).select(text.alias(name), F.explode(shortened(text, l)).alias("_v"))
+        near_ = brief(trains, SHORT + EDITS, "texte_a").join(brief(evals, SHORT, "texte_b"), "_v").select("texte_a", "texte_b").distinct().filter(F.levenshtein("texte_a", "texte_b", EDITS) >= 0)
+        return cut(found.distinct().union(near_.select(F.lit(TEXT).alias("champ"), "texte_a", "texte_b")))
 
     def pairs(self, names: tuple[str, str]) -> DataFrame:
         """Every pair of a training row and an evaluation row, the smaller key first."""
