@@ -4,8 +4,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from treillis.operators import similarity
-from treillis.operators.signatures import signatures
+from treillis.operators import clustering, similarity
+from treillis.operators.signatures import signature_chain, signatures
 from treillis.model import RECORD_SCHEMA, RETAINED
 from treillis.sources import collection, corpus, network, store
 from treillis.streaming import scoring
@@ -133,15 +133,27 @@ def test_store_and_streams(spark, tmp_path):
     records = spark.createDataFrame([("chat", None, True, None, entry, None, None, None, None)], RECORD_SCHEMA)
     sigs = signatures(records, RETAINED)
     rows = spark.createDataFrame([("f", 1, "r", 1, "train", "chat", "rabbin")], "lot string, ex bigint, rt string, ordre int, split string, A string, B string")
-    centers = similarity.centroids(similarity.sides(rows, sigs))
+    sides = similarity.sides(rows, sigs)
+    store.Model(sigs, sides, rows.withColumn("syntagme", F.lit("chat du rabbin")), clustering.cluster(sides)).save(str(tmp_path / "model"))
+    model = store.Model.load(spark, str(tmp_path / "model"))
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.txt").write_text("chat du rabbin\nrien\nlune de miel\n")
-    scored = {r["syntagme"]: (r["predit"], r["score"]) for r in scoring.score_file(spark, str(tmp_path / "in"), sigs, centers).collect()}
-    assert scored == {"chat du rabbin": ("r", 1.0), "rien": (None, None), "lune de miel": ("AUCUNE", 0.0)}
+    (tmp_path / "in" / "a.txt").write_text("chat du rabbin\nrien\nlune de miel\nlune de chat du rabbin\nlune d'or\n")
+    table = scoring.score_file(spark, str(tmp_path / "in"), model)
+    assert table.columns == ["ex", *scoring.SCORED]
+    scored = {r["syntagme"]: (r["predit"], r["score"], r["arret"], r["poids_noeud"], r["exemple_noeud"]) for r in table.collect()}
+    assert scored["chat du rabbin"] == ("r", 1.0, "feuille", 1, "chat du rabbin") and scored["rien"] == (None,) * 5 and scored["lune de miel"] == ("AUCUNE", 0.0, None, None, None)
+    phrases = spark.createDataFrame([(1, "lune de chat du rabbin")], "ex bigint, syntagme string")
+    known = lambda *t: spark.createDataFrame([(x,) for x in t], "terme string")
+    assert scoring.chosen_splits(phrases, known("lune de chat", "rabbin")).first()["B"] == "rabbin" and scoring.chosen_splits(phrases, known("lune")).first()["A"] == "lune"
+    fetched = spark.createDataFrame([("or", "H", "rabbin", 1.0)], "terme string, trait string, symbole string, poids double")
+    gold = spark.createDataFrame([(1, "lune d'or")], "ex bigint, syntagme string")
+    assert scoring.score_phrases(gold, model).first()["predit"] == "AUCUNE" and scoring.score_phrases(gold, model, {"reseau": fetched}).first()["score"] == 0.5
+    chain = {r["terme"]: r["provenance"] for r in signature_chain(known("chat", "or", "lune"), {"modele": sigs, "reseau": fetched}).collect()}
+    assert chain == {"chat": "modele", "or": "reseau", "lune": "vide"}
     for _ in range(2):
-        scoring.stream_scores(spark, str(tmp_path / "in"), sigs, centers, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+        scoring.stream_scores(spark, str(tmp_path / "in"), model, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
     (tmp_path / "rec").mkdir()
-    (tmp_path / "rec" / "a.json").write_text('{"terme":"a"}\n{"terme":"a"}\n{"x":1}\n')
+    (tmp_path / "rec" / "a.json").write_text('{"terme":"a"}\n{"terme":"a","existe":true}\n{"x":1}\n')
     scoring.stream_records(spark, str(tmp_path / "rec"), str(tmp_path / "done"), str(tmp_path / "cp2")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "done")).count() == 1
+    assert [(r["terme"], r["existe"]) for r in scoring.latest_records(spark, str(tmp_path / "done")).collect()] == [("a", True)]

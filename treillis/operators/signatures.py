@@ -4,10 +4,13 @@ Defined cases: null and empty arrays give no symbols; entries with null, zero or
 a term collected again counts with its last record; a term without a record has only its own symbol."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treillis.model import EXCLUDED_TYPES, FREQUENT_SHARE, IDF_FAMILY, PERCENTILE, WEIGHTED_TRAITS, Config
+from treillis.session import cut
 
 
 def last_records(records: DataFrame, order: str = "enr_id", fields: tuple[str, ...] = ("existe", "H", "TRT", "SST", "raffinements", "diagnostic_singulier")) -> DataFrame:
@@ -114,6 +117,16 @@ def signatures(records: DataFrame, config: Config, training: DataFrame | None =
     return joined.select("terme", "trait", "symbole", (weighted * factor).alias("poids")).filter("poids > 0")
 
 
+def signature_chain(terms: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
+    """(terme, symbole, poids, provenance): each term's signature from the first source that has the term.
+
+    A term that no source has is one row without symbol, of provenance ``vide``."""
+    parts = [s.select("terme").distinct().select("terme", F.lit(k).alias("_k"), F.lit(name).alias("provenance")) for k, (name, s) in enumerate(sources.items())]
+    first = terms.join(reduce(DataFrame.unionByName, parts), "terme", "left").groupBy("terme").agg(F.min_by("provenance", "_k").alias("provenance"))
+    rows = [s.select("terme", "symbole", "poids", F.lit(name).alias("provenance")) for name, s in sources.items()]
+    return first.fillna("vide", ["provenance"]).join(reduce(DataFrame.unionByName, rows), ["terme", "provenance"], "left").select("terme", "symbole", "poids", "provenance")
+
+
 def document_frequency(symbols: DataFrame) -> DataFrame:
     """How many terms hold each symbol."""
     return symbols.groupBy("trait", "symbole").agg(F.count("*").alias("df"))
@@ -122,7 +135,7 @@ def document_frequency(symbols: DataFrame) -> DataFrame:
 def vocabulary(symbols: DataFrame) -> DataFrame:
     """Distinct symbols with dense numbers in order, numbered in parallel (ranges, then places within them)."""
     distinct = symbols.select("symbole").distinct()
-    ranged = distinct.repartitionByRange("symbole").sortWithinPartitions("symbole").withColumn("_part", F.spark_partition_id())
+    ranged = cut(distinct.repartitionByRange("symbole").withColumn("_part", F.spark_partition_id()))  # written once, as both readings need the same ranges
     ranged = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("symbole")))
     sizes = ranged.groupBy(F.col("_part").alias("_q")).agg(F.count("*").alias("_c"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition

@@ -1,6 +1,8 @@
 """Stored models, predictions and measures, as Parquet tables."""
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,26 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@dataclass(frozen=True)
+class Model:
+    """What learning gives: signatures, the sides and phrases of the training examples, and the trees over them.
+
+    A node's symbols are the sums over its leaves (clustering.node_symbols), so that a stored tree can be descended."""
+
+    signatures: DataFrame
+    leaves: DataFrame
+    examples: DataFrame
+    nodes: DataFrame
+
+    def save(self, path: str) -> None:
+        for f in fields(self):
+            save(getattr(self, f.name), f"{path}/{f.name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        return cls(*[load(spark, f"{path}/{f.name}") for f in fields(cls)])
+
+
 def save_confusion(matrix: DataFrame, path: str) -> None:
     """A confusion matrix as one CSV with the published first header."""
     matrix.orderBy("attendu").withColumnRenamed("attendu", "attendu \\ prédit").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
