@@ -173,10 +173,12 @@ def oracle_sql() -> dict[str, str]:
     changes = [*answers(), *answers(REFERENCE, "_ref"), """chg AS (SELECT a.ex, a.attendu, b.predit AS avant, a.predit AS apres, CASE WHEN b.predit <> a.attendu AND a.predit = a.attendu THEN 'corrige' WHEN b.predit = a.attendu AND a.predit <> a.attendu THEN 'casse' WHEN a.predit <> b.predit THEN 'autre' END AS changement FROM pred AS a JOIN pred_ref AS b USING (ex))"""]
     q = {
         "split_genitive": _split(),
+        "resolved_splits": sql([REC, f"candidats AS ({_split()})", """juges AS (SELECT c.*, a.terme IS NOT NULL AND b.terme IS NOT NULL AS connu FROM candidats AS c LEFT JOIN rec AS a ON a.terme = c.A AND a.existe LEFT JOIN rec AS b ON b.terme = c.B AND b.existe)"""],
+            "SELECT ligne_id, A, B, n_connus, n_candidats FROM (SELECT *, count(*) FILTER (connu) OVER w AS n_connus, count(*) OVER w AS n_candidats, row_number() OVER (PARTITION BY ligne_id ORDER BY connu DESC, pos) AS r FROM juges WINDOW w AS (PARTITION BY ligne_id)) WHERE r = 1"),
         "comparison_forms": f"SELECT ligne_id, {form('syntagme')} AS forme FROM {C}",
         "merge_keys": f"SELECT id, lower({_SQUEEZED.format('nfc_normalize(nom)')}) AS forme FROM noeuds",
         "language_prefixes": "SELECT prefixe, count(*) AS n FROM (SELECT regexp_extract(nom, '^([A-Za-z]{2,3}):', 1) AS prefixe FROM (SELECT unnest(H).nom AS nom FROM termes_jdm)) WHERE prefixe <> '' GROUP BY 1",
-        "singular_forms": "SELECT id, left(nom, length(nom) - 1) AS singulier FROM noeuds WHERE length(nom) > 3 AND right(nom, 1) IN ('s', 'x')",
+        "singular_forms": f"SELECT terme, left(terme, length(terme) - 1) AS singulier FROM (SELECT unnest([A, B]) AS terme FROM {C} UNION SELECT nom FROM noeuds UNION SELECT unnest(H).nom FROM termes_jdm) WHERE length(terme) > 3 AND right(terme, 1) IN ('s', 'x')",
         "spelling_variants": f"""WITH v AS (SELECT ligne_id, A, CASE WHEN length(A) > 3 AND right(A, 1) IN ('s', 'x') THEN left(A, length(A) - 1) END AS s FROM {C} WHERE A <> ''),
 w AS (SELECT ligne_id, A, unnest([s, lower(A), lower(s), CASE WHEN contains(A, '-') THEN replace(A, '-', ' ') END, CASE WHEN contains(A, '-') THEN replace(A, '-', '') END, CASE WHEN contains(A, '’') THEN replace(A, '’', '''') END, CASE WHEN contains(A, '''') THEN replace(A, '''', '’') END, nfc_normalize(A)]) AS variante, unnest(range(8)) AS k FROM v),
 x AS (SELECT ligne_id, variante, min(k) AS k FROM w WHERE variante IS NOT NULL AND variante <> A AND variante <> '' GROUP BY ALL)

@@ -123,7 +123,10 @@ def language_prefixes(f: Frames) -> DataFrame:
 
 
 def singular_forms(f: Frames) -> DataFrame:
-    return f.t("noeuds").select("id", text.singular(F.col("nom")).alias("singulier")).filter("singulier is not null")
+    """The singular of every term of the corpus, the nodes and the hypernyms that may be a plural."""
+    c = f.t("corpus")
+    terms = c.select(F.col("A").alias("terme")).union(c.select("B")).union(f.t("noeuds").select("nom")).union(f.t("termes").select(F.explode("H.nom"))).distinct()
+    return terms.select("terme", text.singular(F.col("terme")).alias("singulier")).filter("singulier is not null")
 
 
 def spelling_variants(f: Frames) -> DataFrame:
@@ -320,8 +323,8 @@ def reference_cosine(f: Frames) -> DataFrame:
     nr = refs.groupBy("ref_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("nr"))
     sig = f.signature()
     nt = similarity.squared(["terme"], sig).select("terme", F.sqrt("carre").alias("nt"))
-    dots = sig.join(F.broadcast(refs), "symbole").groupBy("terme", "ref_id").agg(F.sum(F.col("poids") * F.col("q")).alias("d"))  # references are a fixed table
-    scored = dots.join(nt, "terme").join(F.broadcast(nr), "ref_id").withColumn("sim", F.round(F.col("d") / (F.col("nt") * F.col("nr")), 6))
+    dots = sig.join(refs, "symbole").groupBy("terme", "ref_id").agg(F.sum(F.col("poids") * F.col("q")).alias("d"))
+    scored = dots.join(nt, "terme").join(nr, "ref_id").withColumn("sim", F.round(F.col("d") / (F.col("nt") * F.col("nr")), 6))
     return scored.groupBy("terme").agg(F.min_by(F.struct("ref_id", "sim"), F.struct(-F.col("sim"), F.col("ref_id"))).alias("x")).select("terme", "x.*")
 
 

@@ -84,7 +84,7 @@ def network_records(spark: SparkSession, options: dict[str, str], kinds: dict[st
         rank = F.row_number().over(Window.partitionBy("terme").orderBy(F.desc("poids"), "nom"))
         h = targets("r_isa").select("terme", rank.alias("rang"), "nom", "poids", "type_noeud", language_prefix(F.col("nom")).isNotNull().alias("lang_prefix"), merge_key(F.col("nom")).alias("forme_normalisee"))
         counts = into.filter("w > 0").groupBy("terme", F.col("type").alias("type_id")).agg(F.count("*").alias("n"))
-        histogram = counts.join(F.broadcast(named), "type_id", "left").select("terme", F.coalesce("type", F.col("type_id").cast("string")).alias("type"), "n")
+        histogram = counts.join(named, "type_id", "left").select("terme", F.coalesce("type", F.col("type_id").cast("string")).alias("type"), "n")
         whole = assemble(todo, h, histogram, tags_of_targets(targets("r_infopot")), targets("r_raff_sem").select("terme", "nom", "poids"), nodes.filter("erreur is null"))
         return whole.join(errors, "terme", "left")
 
@@ -110,7 +110,7 @@ def tags_of_targets(targets: DataFrame) -> DataFrame:
 def incoming_histogram(edges: DataFrame, types: DataFrame) -> DataFrame:
     """Number of incoming edges with positive weight by term and type, with the type's id where it is known."""
     counts = edges.filter("w > 0").groupBy(F.col("dst").alias("terme"), "type").agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(types.select(F.col("nom").alias("type"), F.col("id").alias("type_id"))), "type", "left")  # a fixed dimension of some hundred rows
+    return counts.join(types.select(F.col("nom").alias("type"), F.col("id").alias("type_id")), "type", "left")
 
 
 def assemble(terms: DataFrame, hypernyms: DataFrame, histogram: DataFrame, tags: DataFrame, refinements: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
