@@ -249,7 +249,9 @@ class SplitOverlap:
         shard = ["champ", "eclat", "part", "flux", "cote", "texte"]
         right = own.join(plan, ["champ", "cle"]).withColumn("part", number("parts")).withColumn("_f", every("flux")).select("champ", "eclat", "part", F.col("_f").alias("flux"), F.lit(0).alias("cote"), "texte")
         left = held.join(plan, ["champ", "cle"]).withColumn("_f", number("flux")).withColumn("part", every("parts")).select("champ", "eclat", "part", F.col("_f").alias("flux"), F.lit(1).alias("cote"), "texte")
-        rows = right.union(left).distinct().repartition(*shard[:4]).sortWithinPartitions(*shard[:5])
+        # A stated number of partitions, as searching costs more than the few bytes of a shard suggest.
+        tasks = max(shards, int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        rows = right.union(left).distinct().repartition(tasks, *shard[:4]).sortWithinPartitions(*shard[:5])
         found = rows.select(*shard).mapInArrow(_search, "champ string, texte_a string, texte_b string")
         brief = lambda t, n, name: t.filter((F.col("champ") == TEXT) & (l < n)).select(text.alias(name), F.explode(shortened(text, l)).alias("_v"))
         near_ = brief(trains, SHORT + EDITS, "texte_a").join(brief(evals, SHORT, "texte_b"), "_v").select("texte_a", "texte_b").distinct().filter(F.levenshtein("texte_a", "texte_b", EDITS) >= 0)
