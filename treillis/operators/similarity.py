@@ -1,7 +1,7 @@
 """Similarity of sparse vectors in long form, and the sides of examples.
 
 An example has a left and a right term, whose signatures stay apart as sides L and R. Pairs are those of the whole
-corpus; the lot (a corpus file) of an example is in the keys of trees and of scores against them."""
+corpus; the lot (a corpus file) of an example only says where it stands in corpus order."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
@@ -115,3 +115,13 @@ def centroid_scores(rows: DataFrame, signatures: DataFrame, centers: DataFrame)
     left, right = (sims.filter(F.col("cote") == c).select(F.col("terme").alias(t), "rt", F.col("sim").alias(f"s{c}")) for c, t in (("L", "A"), ("R", "B")))
     every = rows.select("ex", "A", "B").crossJoin(types)  # a row a relation, of which there are few
     return every.join(left, ["A", "rt"], "left").join(right, ["B", "rt"], "left").select("ex", "rt", F.round(0.5 * (F.coalesce("sL", F.lit(0.0)) + F.coalesce("sR", F.lit(0.0))), 9).alias("score"))
+
+
+def side_scores(asked: DataFrame, centers: DataFrame) -> DataFrame:
+    """(ex, rt, score) of example sides against every relation, for sides that hold more than the terms' signatures."""
+    center = squared(["rt", "cote"], centers).select("rt", "cote", F.sqrt("carre").alias("nc"))
+    dots = asked.select("ex", "cote", "symbole", "poids").join(centers.withColumnRenamed("poids", "pc"), ["cote", "symbole"]).groupBy("ex", "rt", "cote").agg(F.sum(F.col("poids") * F.col("pc")).alias("produit"))
+    norm = squared(["ex", "cote"], asked).select("ex", "cote", F.sqrt("carre").alias("norme"))
+    sims = dots.join(norm, ["ex", "cote"]).join(center, ["rt", "cote"]).groupBy("ex", "rt").agg((0.5 * F.sum(cosine(F.col("produit"), F.col("norme"), F.col("nc")))).alias("score"))
+    every = asked.select("ex").distinct().crossJoin(centers.select("rt").distinct())  # a row a relation, of which there are few
+    return every.join(sims, ["ex", "rt"], "left").select("ex", "rt", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))

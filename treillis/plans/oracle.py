@@ -213,6 +213,15 @@ SELECT src AS terme, row_number() OVER (PARTITION BY src ORDER BY poids DESC, ds
         "trt_without_frequent": sql([REC, TRT, EX, LEARN], "SELECT terme, type, n FROM trt WHERE type NOT IN (SELECT type FROM trt JOIN appris USING (terme) GROUP BY type HAVING count(*) > 0.8 * (SELECT count(*) FROM appris))"),
         "trt_top5": sql([REC, TRT], "SELECT terme, type, n FROM (SELECT *, row_number() OVER (PARTITION BY terme ORDER BY n DESC, type) AS r FROM trt) WHERE r <= 5"),
         "trt_share": sql([REC, TRT], "SELECT terme, type, n FROM (SELECT *, max(n) OVER (PARTITION BY terme) AS m FROM trt) WHERE n >= 0.05 * m"),
+        "trt_top_idf": sql([REC, TRT], "SELECT terme, type, n FROM (SELECT t.*, row_number() OVER (PARTITION BY terme ORDER BY (1 + log10(n)) * ln((SELECT count(*) FROM rec)::DOUBLE / df) DESC, type) AS r FROM trt AS t JOIN (SELECT type, count(*) AS df FROM trt GROUP BY type) USING (type)) WHERE r <= 5"),
+        "trt_percentiles": sql([REC, TRT, "s AS (SELECT t.type, c, quantile_cont(coalesce(k.n, 0), [0.5, 0.66, 0.75, 0.9])[i] AS seuil FROM (SELECT DISTINCT type FROM trt) AS t CROSS JOIN rec CROSS JOIN (SELECT unnest([0.5, 0.66, 0.75, 0.9])::DOUBLE AS c, unnest(range(1, 5)) AS i) LEFT JOIN trt AS k ON k.terme = rec.terme AND k.type = t.type GROUP BY t.type, c, i)"], "SELECT c AS centile, count(*) AS n, count(DISTINCT terme) AS n_termes FROM trt JOIN s USING (type) WHERE n > seuil GROUP BY c"),
+        "tag_inventory": sql([REC, SST], "SELECT tag, count(*) AS n_termes, round(sum(poids), 6) AS poids, bool_or(morpho) AS morpho FROM sst GROUP BY tag"),
+        "term_metadata": f"""WITH couples AS (SELECT relation, string_split(unnest(string_split(candidats, ' | ')), ' / ') AS s FROM {C} WHERE candidats <> ''),
+t AS (SELECT A AS terme, 'A' AS role, relation, 1 AS c FROM {C} WHERE A <> '' AND B <> '' UNION ALL SELECT B, 'B', relation, 1 FROM {C} WHERE A <> '' AND B <> '' UNION ALL SELECT s[1], 'A', relation, 0 FROM couples WHERE len(s) = 2 UNION ALL SELECT s[2], 'B', relation, 0 FROM couples WHERE len(s) = 2)
+SELECT terme, string_agg(DISTINCT role, '|' ORDER BY role) AS roles, coalesce(string_agg(DISTINCT relation, '|' ORDER BY relation), '') AS relations, count(DISTINCT CASE WHEN relation IS NOT NULL THEN role || ' ' || relation END) AS n_couples, sum(c)::BIGINT AS occurrences FROM t GROUP BY terme""",
+        "sizes_by_relation": sql([*sig, CONTEXTS, "n AS (SELECT terme, count(*) AS n FROM sig GROUP BY terme)"], "SELECT relation, role, count(*) AS n_termes, min(n)::BIGINT AS mini, round(avg(n), 6) AS moyenne, max(n)::BIGINT AS maxi FROM (SELECT DISTINCT terme, role, relation FROM contextes) JOIN n USING (terme) GROUP BY relation, role"),
+        "universal_symbols": sql(sig, "SELECT trait, symbole, count(*) AS df FROM sig GROUP BY ALL HAVING count(*) > 0.2 * (SELECT count(DISTINCT terme) FROM sig)"),
+        "calibration_split": sql(EX, "SELECT ex, CASE WHEN r // greatest(1, n // 5) = 0 THEN 'calibrage' ELSE 'apprentissage' END AS part FROM (SELECT ex, row_number() OVER (PARTITION BY rt ORDER BY md5(42 || '|' || ex), ex) - 1 AS r, count(*) OVER (PARTITION BY rt) AS n FROM ex WHERE split = 'train')"),
         "sst_tags": sql([REC, SST], "SELECT terme, tag, poids, morpho FROM sst"),
         **{name: sql(signature(c), "SELECT terme, trait, symbole, round(poids, 6) AS poids FROM sig") for name, c in SIGNATURES.items()},
         "vocabulary": sql(sig, "SELECT symbole, row_number() OVER (ORDER BY symbole) - 1 AS dim FROM (SELECT DISTINCT symbole FROM sig)"),

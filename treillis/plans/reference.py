@@ -248,6 +248,47 @@ def trt_share(f: Frames) -> DataFrame:
     return signatures.trt_policy(signatures.relation_counts(f.records()), "part", 0.05, 0).select("terme", "type", "n")
 
 
+def trt_top_idf(f: Frames) -> DataFrame:
+    """The five relation types of each term by (1 + log10 n) * log(N / df)."""
+    known = signatures.relation_counts(f.records())
+    return signatures.trt_policy(known, "top_idf", 5, f.records().count()).select("terme", "type", "n")
+
+
+def trt_percentiles(f: Frames) -> DataFrame:
+    """How many relation types each percentile of the policy keeps, by percentile."""
+    known = f.once("types", lambda: signatures.relation_counts(f.records()))
+    n, out = f.records().count(), None
+    for p in (0.5, 0.66, 0.75, 0.9):
+        kept = signatures.trt_policy(known, "centile", p, n).agg(F.count("*").alias("n"), F.count_distinct("terme").alias("n_termes")).select(F.lit(p).alias("centile"), "n", "n_termes")
+        out = kept if out is None else out.union(kept)
+    return out
+
+
+def tag_inventory(f: Frames) -> DataFrame:
+    """Terms and total weight of each tag of the collection."""
+    return signatures.tags(f.records()).groupBy("tag").agg(F.count("*").alias("n_termes"), r6(F.sum("poids")).alias("poids"), F.max("morpho").alias("morpho"))
+
+
+def term_metadata(f: Frames) -> DataFrame:
+    """Roles, relations, pairs of both and firm occurrences of each term."""
+    each = corpus_files.term_dictionary(f.t("corpus")).withColumn("relation", F.explode_outer(F.split(F.nullif("relations_associees", F.lit("")), r"\|")))
+    sums = corpus_files.term_dictionary(f.t("corpus")).groupBy("terme").agg(F.sum("nb_occurrences").alias("occurrences"))
+    meta = each.groupBy("terme").agg(F.array_join(F.array_sort(F.collect_set("role")), "|").alias("roles"), F.array_join(F.array_sort(F.collect_set("relation")), "|").alias("relations"), F.count("relation").alias("n_couples"))
+    return meta.join(sums, "terme")
+
+
+def sizes_by_relation(f: Frames) -> DataFrame:
+    """Least, mean and greatest size of the signatures of the terms of each relation and role."""
+    size = f.lazy_signature().groupBy("terme").agg(F.count("*").alias("n"))
+    return corpus_files.term_contexts(f.t("corpus")).select("terme", "role", "relation").distinct().join(size, "terme").groupBy("relation", "role").agg(F.count("*").alias("n_termes"), F.min("n").alias("mini"), r6(F.avg("n")).alias("moyenne"), F.max("n").alias("maxi"))
+
+
+def universal_symbols(f: Frames) -> DataFrame:
+    """Symbols that more than a fifth of all signatures hold."""
+    sig = f.signature()
+    return signatures.document_frequency(sig).filter(F.col("df") > 0.2 * sig.select("terme").distinct().count())
+
+
 def sst_tags(f: Frames) -> DataFrame:
     return signatures.tags(f.records())
 
@@ -604,6 +645,32 @@ def definiteness_symbols(f: Frames) -> DataFrame:
     return similarity.with_definiteness(f.sides(rows), rows).filter("symbole like 'DEF:%'").groupBy("symbole", "rt").agg(F.count("*").alias("n"))
 
 
+def definiteness_experiment(f: Frames) -> DataFrame:
+    """Nearest centroids with and without the row's own definiteness and the morphological tags."""
+    out = None
+    for name, config, own in (("base", RETAINED, False), ("sans_morpho", RETAINED.but(sst="sans_morpho"), False), ("avec_def", RETAINED, True), ("sans_morpho_avec_def", RETAINED.but(sst="sans_morpho"), True)):
+        asked, learnt = f.questions(config), f.leaves(config)
+        if own:
+            asked, learnt = similarity.with_definiteness(asked, f.asked()), similarity.with_definiteness(learnt, f.train())
+        scores = similarity.side_scores(asked, similarity.centroids(learnt))
+        m = evaluate.macro(classify.with_gap(scores).join(f.expected(), "ex"), f.types()).select(F.lit(name).alias("variante"), "corrects", r6("f1").alias("f1"))
+        out = m if out is None else out.union(m)
+    return out
+
+
+def winner_provenance(f: Frames) -> DataFrame:
+    """How often merged nodes and single leaves win by exhaustive search, and rightly so; and how many nodes of each kind there are."""
+    best = classify.best_everywhere(f.tree_answers()).join(f.trees().select("rt", "noeud", (F.col("poids") > 1).alias("fusionne")), ["rt", "noeud"]).join(f.expected(), "ex")
+    won = best.groupBy("fusionne").agg(F.count("*").alias("gagnes"), F.count_if(F.col("rt") == F.col("attendu")).alias("justes"))
+    return f.trees().groupBy((F.col("poids") > 1).alias("fusionne")).agg(F.count("*").alias("noeuds")).join(won, "fusionne", "left").fillna(0, ["gagnes", "justes"])
+
+
+def never_winning_leaves(f: Frames) -> DataFrame:
+    """Training examples of each relation that are no question's best leaf."""
+    best = classify.best_everywhere(f.tree_answers(), "feuilles").select("rt", "noeud").distinct()
+    return f.trees().filter("enfants is null").join(best, ["rt", "noeud"], "left_anti").groupBy("rt").agg(F.count("*").alias("n"))
+
+
 # Folds and studies -------------------------------------------------------------------------------------------
 
 
@@ -611,6 +678,11 @@ def stratified_folds(f: Frames) -> DataFrame:
     return crossval.hashed_folds(f.train(), [42, 43]).select("graine", "ex", "pli")
 
 
+def calibration_split(f: Frames) -> DataFrame:
+    """A fifth of each relation's training rows kept for calibration, drawn by a seeded hash."""
+    return crossval.hashed_folds(f.train(), [42]).select("ex", F.when(F.col("pli") == 0, "calibrage").otherwise("apprentissage").alias("part"))
+
+
 def study_measures(f: Frames) -> DataFrame:
     """Two configurations over five folds: descent in the trees of each fold's training rows."""
     m = crossval.study(f.train(), f.records(), [RETAINED, RETAINED.but(weighting="binaire")], [42])
