@@ -90,7 +90,7 @@ def test_descent_of_two_queries(spark):
     train = spark.createDataFrame(T3, SIDES)
     nodes = clustering.cluster(train)
     asked = spark.createDataFrame(rows_of(10, "r", "ab", "p") + rows_of(11, "r", "abc", "q") + rows_of(12, "s", "zz", "z"), SIDES)
-    got = {r["ex"]: r for r in classify.tree_answers(asked, train, nodes).collect()}
+    got = {r["ex"]: r for r in classify.tree_answers(asked, train, nodes, paths=True).collect()}
     assert {k: (r["noeud"], r["calculs"], r["feuille"]) for k, r in got.items()} == {10: (4, 3, False), 11: (1, 5, True), 12: (4, 3, False)}
     want = {(10, 4): 0.857326, (11, 4): 0.714475, (11, 3): 0.834679, (11, 1): 0.853553, (12, 4): 0.0}
     assert {(k, n): s for k, r in got.items() for n, s in zip(r["chemin"], r["scores"])} == pytest.approx(want, abs=2e-6)
@@ -149,7 +149,7 @@ def test_answers_equal_loops(spark, monkeypatch, block):
     for r in asked.collect():
         questions.setdefault(r["ex"], [{}, {}])["LR".index(r["cote"])][r["symbole"]] = r["poids"]
     nodes = clustering.cluster(frame)
-    answers = classify.tree_answers(asked, frame, nodes).cache()
+    answers = classify.tree_answers(asked, frame, nodes, paths=True).cache()
     trees = {rt: loop_tree(v) for rt, v in vectors.items()}
     got = {(r["ex"], r["rt"]): r for r in answers.collect()}
     assert set(got) == {(e, rt) for e in questions for rt in trees}

@@ -38,7 +38,7 @@ def test(spark, data: str, model: str) -> DataFrame:
     """Metrics of the test rows by descent; the answers of every tree and the predictions are stored beside the model."""
     known = Model.load(spark, model)
     rows = similarity.examples(table(spark, data, CORPUS)).filter("split = 'test'")
-    store.save(classify.tree_answers(similarity.sides(rows, known.signatures), known.leaves, known.nodes), f"{model}/reponses")
+    store.save(classify.tree_answers(similarity.sides(rows, known.signatures), known.leaves, known.nodes, paths=True), f"{model}/reponses")
     answers = store.load(spark, f"{model}/reponses")
     store.save(classify.winners(answers).join(rows.select("ex", F.col("rt").alias("attendu")), "ex"), f"{model}/predictions")
     done = store.load(spark, f"{model}/predictions")
@@ -85,7 +85,7 @@ def predict(spark, model: str, phrases: list[str], top: int, detail: bool, cache
     scoring.score_phrases(asked, known, more).orderBy("ex").show(1000, False)
     if detail:
         split = scoring.chosen_splits(asked, known.signatures.select("terme"))
-        answers = cut(scoring.answers_of(split, known, more))
+        answers = cut(scoring.answers_of(split, known, more, paths=True))
         classify.ranked(classify.stops(answers), "rt", "noeud").filter(F.col("rang") <= top).orderBy("ex", "rang").show(1000, False)
 
 

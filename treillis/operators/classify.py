@@ -105,7 +105,7 @@ def _best(scores: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return among[k], part[np.arange(len(part)), k]
 
 
-def _answer(asked: pa.Table, rows: pa.Table) -> pa.Table:
+def _answer(asked: pa.Table, rows: pa.Table, paths: bool) -> pa.Table:
     tree, block = Tree(rows), pairs.Block(asked.select(list(pairs.PARTS)).to_struct_array().combine_chunks())
     every, out = np.arange(tree.n), []
     ex = asked["ex"].to_numpy()
@@ -114,7 +114,8 @@ def _answer(asked: pa.Table, rows: pa.Table) -> pa.Table:
         best, top = _best(scores, every)
         leaf, near = _best(scores, tree.leaves)
         root, high_root = _best(scores, tree.roots)
-        h, ways = high - low, tree.ways(stop)
+        h = high - low
+        ways = tree.ways(stop) if paths else None
         ids = lambda x: pa.array(tree.ids[x], pa.int32())
         whole = lambda x: pa.array(np.broadcast_to(x, h), pa.int32())
         below = (tree.start[stop] <= tree.start[best]) & (tree.end[best] <= tree.end[stop])
@@ -122,13 +123,13 @@ def _answer(asked: pa.Table, rows: pa.Table) -> pa.Table:
             "ex": ex[low:high], "noeud": ids(stop), "score": scores[np.arange(h), stop], "profondeur": whole(tree.depth[stop]), "poids": whole(tree.weight[stop]), "feuille": tree.first[stop] < 0, "calculs": whole(seen),
             "meilleur": ids(best), "score_meilleur": top, "voisin": ids(leaf), "score_voisin": near, "racine": ids(root), "score_racine": high_root, "niveau_commun": whole(tree.common_depth(stop, best)), "dessous": below,
             "n_noeuds": whole(tree.n), "n_feuilles": whole(len(tree.leaves)), "n_racines": whole(len(tree.roots)),
-            "chemin": pa.array([tree.ids[w].tolist() for w in ways], pa.list_(pa.int32())), "scores": pa.array([scores[k, w].tolist() for k, w in enumerate(ways)], pa.list_(pa.float64())),
+            "chemin": pa.array([tree.ids[w].tolist() for w in ways] if paths else [None] * h, pa.list_(pa.int32())), "scores": pa.array([scores[k, w].tolist() for k, w in enumerate(ways)] if paths else [None] * h, pa.list_(pa.float64())),
         }, schema=pa.schema(_arrow(ANSWERS))))
     return pa.concat_tables(out) if out else pa.schema(_arrow(ANSWERS)).empty_table()
 
 
-def tree_answers(questions: DataFrame, leaves: DataFrame, nodes: DataFrame, by: tuple[str, ...] = ("rt",)) -> DataFrame:
-    """The answer (``by`` and ANSWERS) of every tree to every question.
+def tree_answers(questions: DataFrame, leaves: DataFrame, nodes: DataFrame, by: tuple[str, ...] = ("rt",), paths: bool = False) -> DataFrame:
+    """The answer (``by`` and ANSWERS) of every tree to every question; the way to the stop only with ``paths``, as trees may be deep.
 
     ``by`` ends with the relation; the keys before it (a configuration, a fold) are those of the questions too. A question
     that shares nothing with a tree scores 0 there and stops at its root; no trees or no questions give no rows."""
@@ -147,7 +148,7 @@ def tree_answers(questions: DataFrame, leaves: DataFrame, nodes: DataFrame, by:
     right = right.select(*[F.col(c).alias(f"{c}_t") for c in keys], *columns, *pairs.PARTS)
 
     def run(key: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
-        got = _answer(one, two) if len(one) and len(two) else pa.schema(_arrow(ANSWERS)).empty_table()
+        got = _answer(one, two, paths) if len(one) and len(two) else pa.schema(_arrow(ANSWERS)).empty_table()
         for k, c in enumerate(by):
             got = got.add_column(k, c, pa.array([key[k].as_py()] * len(got), pa.string()))
         return got

@@ -86,6 +86,10 @@ class Frames:
         """What the grown trees of all relations answer to each question."""
         return self.once("reponses des arbres", lambda: classify.tree_answers(self.questions(), self.leaves(), self.trees()))
 
+    def tree_ways(self) -> DataFrame:
+        """The same with the way to each stop."""
+        return self.once("chemins des arbres", lambda: classify.tree_answers(self.questions(), self.leaves(), self.trees(), paths=True))
+
     def descended(self) -> DataFrame:
         """Predictions by descent."""
         return self.once("descentes", lambda: classify.winners(self.tree_answers()).join(self.expected(), "ex"))
@@ -492,7 +496,7 @@ def tree_predictions(f: Frames) -> DataFrame:
 
 def descent_paths(f: Frames) -> DataFrame:
     """The nodes on the way of each winning descent, with their scores."""
-    each = f.descended().select("ex", "predit", F.posexplode(F.arrays_zip("chemin", "scores")).alias("profondeur", "x"))
+    each = classify.winners(f.tree_ways()).select("ex", "predit", F.posexplode(F.arrays_zip("chemin", "scores")).alias("profondeur", "x"))
     return each.select("ex", "predit", "profondeur", F.col("x.chemin").alias("noeud"), r6("x.scores").alias("score"))
 
 
@@ -537,7 +541,7 @@ def best_node_oracle(f: Frames) -> DataFrame:
 
 
 def branch_directions(f: Frames) -> DataFrame:
-    return classify.branch_directions(f.tree_answers(), f.trees())
+    return classify.branch_directions(f.tree_ways(), f.trees())
 
 
 # Evaluation --------------------------------------------------------------------------------------------------

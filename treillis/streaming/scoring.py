@@ -23,11 +23,11 @@ def chosen_splits(phrases: DataFrame, known: DataFrame) -> DataFrame:
     return phrases.select("ex", "syntagme").join(split, "ex", "left")
 
 
-def answers_of(split: DataFrame, model: Model, more: dict[str, DataFrame] | None = None) -> DataFrame:
+def answers_of(split: DataFrame, model: Model, more: dict[str, DataFrame] | None = None, paths: bool = False) -> DataFrame:
     """What every tree of the model answers to split phrases; ``more`` has signatures of other sources, asked in order after the model's own."""
     rows = split.filter("A is not null").select(F.lit(None).cast("string").alias("lot"), "ex", F.lit(None).cast("string").alias("rt"), F.lit(0).alias("ordre"), F.lit(None).cast("string").alias("split"), "A", "B")
     found = signature_chain(similarity.terms_of(rows), {"modele": model.signatures, **(more or {})})
-    return classify.tree_answers(similarity.sides(rows, found.filter("symbole is not null")), model.leaves, model.nodes)
+    return classify.tree_answers(similarity.sides(rows, found.filter("symbole is not null")), model.leaves, model.nodes, paths=paths)
 
 
 def score_phrases(phrases: DataFrame, model: Model, more: dict[str, DataFrame] | None = None) -> DataFrame:
