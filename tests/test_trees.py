@@ -109,6 +109,8 @@ def drawn(seed, files):
                     d.setdefault(rng.choice("axyz"), 1)
             if k and rng.random() < 0.2:
                 side = rng.choice(vectors[rt])
+            if k % 7 == 5:  # shares nothing with any other
+                side = [{f"only{rt}{k}": 2}, {f"only{rt}{k}": 1}]
             vectors[rt].append(side)
             ex = len(rows) * 1000 + k
             rows += [(f"f{k * files // n}", ex, rt, k, "train", c, s, float(v)) for c, d in zip("LR", side) for s, v in d.items()]

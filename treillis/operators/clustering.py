@@ -28,7 +28,7 @@ NODES = (
 )
 TREE = ["rt"]
 #: Products of nodes kept for reuse, by side.
-CACHE = 20_000_000
+CACHE = 1_000_000
 
 
 class Side:
@@ -47,7 +47,8 @@ class Side:
         mine = np.bincount(row, minlength=n)
         split = np.cumsum(mine)[:-1]
         self.places = np.split(np.argsort(self.owner, kind="stable"), split)
-        self.vectors = list(zip(np.split(at, split), np.split(weight, split)))
+        order = np.lexsort((at, row))
+        self.vectors = list(zip(np.split(at[order], split), np.split(weight[order], split)))
         shared = np.bincount(row, weight * weight, n)
         self.single = sizes - mine  # symbols no other row has
         self.rest = self.single.astype(np.float64) if union else squares - shared
@@ -71,6 +72,7 @@ class Side:
         else:
             at = np.arange(total) + np.repeat(self.first[symbols] - np.cumsum(size) + size, size)
             found = np.bincount(self.owner[at], np.repeat(weight, size) * self.weight[at], self.n)
+        found = found.astype(np.float64, copy=False)  # counts of nothing are whole numbers
         found[i] += self.rest[i]
         return self._keep(i, found)
 
@@ -85,11 +87,12 @@ class Side:
     def merge(self, i: int, j: int) -> None:
         """Node j goes into node i."""
         (a, x), (b, y) = self.vectors[i], self.vectors[j]
-        both, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        at = np.searchsorted(a, b)
+        shared = np.append(a, -1)[at] == b
         given = self.places[j]
         if self.union:  # of a symbol both hold, one entry stays
             new = None
-            lost = np.isin(self.symbol[given], a)
+            lost = np.isin(self.symbol[given], b[shared])
             self.weight[given[lost]] = 0.0
             given = given[~lost]
         else:
@@ -98,7 +101,10 @@ class Side:
             new[i] += new[j]
             new[j] = 0.0
         self.owner[given] = i
-        self.vectors[i] = both, np.ones(len(both)) if self.union else np.bincount(at, np.concatenate((x, y)), len(both))
+        if not self.union:
+            x = x.copy()
+            x[at[shared]] += y[shared]
+        self.vectors[i] = np.insert(a, at[~shared], b[~shared]), np.insert(x, at[~shared], y[~shared])
         self.vectors[j] = b[:0], y[:0]
         self.places[i], self.places[j] = np.concatenate((self.places[i], given)), given[:0]
         self.rest[i] += self.rest[j]
