@@ -21,12 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from treillis.llm.bitmap import maybe_in
 from treillis.session import bound_arrow_batches, cut
 
 #: Least length of a passage and length of the grams hashed, in code points.
 SPAN, GRAM = 200, 40
-#: Bits (as a power of two) of the bitmap that says whose texts are needed: at most 2**17 rows of 64 bits.
-BITMAP = 23
 #: Code points worked on at once; positions must fit the low bits of a packed hash.
 SLAB_BITS = 19
 SLAB = 1 << SLAB_BITS
@@ -146,14 +145,10 @@ def windows_of(documents: DataFrame, key: str = "doc_id", text: str = "text", sp
 def _texts_of(wanted: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
     """The texts (``_t``) of the records with wanted windows, and those windows (``_w``).
 
-    A bitmap of hashed keys, of at most 2**BITMAP bits whatever the number of records, goes to every task, so that
-    texts nobody asks for aren't shuffled."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP)).cast("long")
-    asked = wanted.select(slot("doc").alias("_h")).groupBy(F.shiftright("_h", 6).alias("_mot")).agg(F.expr("bit_or(shiftleft(1L, cast(_h & 63 as int)))").alias("_bits"))
-    long = documents.select(F.col(key).alias("doc"), F.col(text).alias("_t")).withColumn("_h", slot("doc"))
-    some = long.join(F.broadcast(cut(asked)), F.shiftright("_h", 6) == F.col("_mot")).filter("bit_get(_bits, cast(_h & 63 as int)) = 1")
+    A bitmap of hashed keys goes to every task, so that texts nobody asks for aren't shuffled."""
+    some = maybe_in(documents.select(F.col(key).alias("doc"), F.col(text).alias("_t")), "doc", wanted, "doc")
     lists = wanted.groupBy("doc").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "doc"])).alias("_w"))  # bounded by one text
-    return some.select("doc", "_t").join(lists, "doc").select("_t", "_w")
+    return some.join(lists, "doc").select("_t", "_w")
 
 
 def _step(span: int, gram: int) -> int:

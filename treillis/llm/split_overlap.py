@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treillis.llm.bitmap import maybe_in
 from treillis.llm.canonical import consistent
 from treillis.llm.fm_index import FmIndex
 from treillis.session import bound_arrow_batches, cut
@@ -233,8 +234,8 @@ class SplitOverlap:
         of_train = F.when(F.col("champ") != TEXT, whole).when(l >= SHORT - EDITS, held_segments(text, l)).otherwise(none)
         own = cut(evals.select("champ", "texte", "l", F.explode(of_eval).alias("cle")))
         sizes = own.groupBy("champ", "cle").agg(F.sum(l + 1).alias("lettres"))
-        held = trains.select("champ", "texte", F.explode(of_train).alias("cle")).join(sizes.select("champ", "cle"), ["champ", "cle"], "left_semi")
-        held = cut(held)
+        maybe = maybe_in(trains.select("champ", "texte", F.explode(of_train).alias("cle")), "cle", own, "cle")
+        held = cut(maybe.join(sizes.select("champ", "cle"), ["champ", "cle"], "left_semi"))
         asked = held.groupBy("champ", "cle").agg(F.count("*").alias("demandes"))
         totals = sizes.join(asked, ["champ", "cle"]).agg(F.coalesce(F.sum("lettres"), F.lit(0)).alias("x"), F.coalesce(F.sum("demandes"), F.lit(0)).alias("y")).first()
         shards = max(1, -(-totals["x"] // SHARD), -(-totals["y"] // STREAM))
