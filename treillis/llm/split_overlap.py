@@ -34,7 +34,7 @@ from treillis.session import bound_arrow_batches, cut
 EDITS = 2
 #: Places a match may have at first, code points of a shard, training texts that one index serves, texts below that have
 #: no segments, and pairs compared at once.
-PLACES, SHARD, STREAM, SHORT, AT_ONCE = 8, 400_000, 100_000, 12, 50_000
+PLACES, SHARD, STREAM, SHORT, AT_ONCE = 8, 400_000, 100_000, 9, 50_000
 TEXT, PAIR = "texte", "paire"
 
 
@@ -255,7 +255,7 @@ class SplitOverlap:
         rows = right.union(left).distinct().repartition(tasks, *shard[:4]).sortWithinPartitions(*shard[:5])
         found = rows.select(*shard).mapInArrow(_search, "champ string, texte_a string, texte_b string")
         brief = lambda t, n, name: t.filter((F.col("champ") == TEXT) & (l < n)).select(text.alias(name), F.explode(shortened(text, l)).alias("_v"))
-        near_ = brief(trains, SHORT + EDITS, "texte_a").join(brief(evals, SHORT, "texte_b"), "_v").select("texte_a", "texte_b").distinct().filter(F.levenshtein("texte_a", "texte_b", EDITS) >= 0)
+        near_ = maybe_in(brief(trains, SHORT + EDITS, "texte_a"), "_v", brief(evals, SHORT, "texte_b"), "_v").join(brief(evals, SHORT, "texte_b"), "_v").select("texte_a", "texte_b").distinct().filter(F.levenshtein("texte_a", "texte_b", EDITS) >= 0)
         return cut(found.distinct().union(near_.select(F.lit(TEXT).alias("champ"), "texte_a", "texte_b")))
 
     def pairs(self, names: tuple[str, str]) -> DataFrame:
